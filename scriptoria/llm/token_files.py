@@ -11,6 +11,7 @@ rows are documents like any other; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterable, Iterator
@@ -18,6 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,12 +69,47 @@ class EliasFano:
         return (places - np.arange(self.n)) << self.low_bits | (low << np.arange(self.low_bits)).sum(axis=1)
 
 
-@cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: How byte-level BPE divides a text before merging; no merge crosses a piece.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+KNOWN_PIECES = 400_000
 
-    return Tokenizer.from_file(path)
+
+class Coder:
+    """Texts to id bytes by the tokenizers library. For byte-level BPE each distinct piece is coded once and remembered (at most
+    KNOWN_PIECES); texts with special tokens, or with characters whose class may differ between Unicode versions, are coded whole."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.bytes = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
+        about = json.loads(self.tok.to_str())
+        split = about["pre_tokenizer"] or {}
+        self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not about["normalizer"]
+        special = "|".join(regex.escape(a["content"]) for a in about["added_tokens"])
+        self.odd = regex.compile(r"[^\x00-\u024F\u2010-\u2027]" + (f"|{special}" if special else ""))
+        self.pieces = regex.compile(PIECES)
+        self.known: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, dtype=f"<u{self.bytes}").tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_piece:
+            return self._whole(texts)
+        plain = [not self.odd.search(t) for t in texts]
+        whole = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        parts = [self.pieces.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
+        if len(self.known) > KNOWN_PIECES:
+            self.known.clear()
+        new = list(set().union(*(p for p in parts if p)).difference(self.known))
+        self.known.update(zip(new, self._whole(new), strict=True))
+        known = self.known.__getitem__
+        return [next(whole) if p is None else b"".join(map(known, p)) for p in parts]
+
+
+_coder = cache(Coder)
 
 
 CHUNKS = "shard int, chunk int, n_docs long, n_ids long, doc_ids binary, nulls binary, id_bytes int, ids binary, low_bits int, low binary, high binary, samples binary"
@@ -83,23 +120,24 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, chun
     """The chunks of docs (doc_id, text). tokenizer: a tokenizers file, which all executors have."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(tokenizer)
-        width = 2 if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        coder = _coder(tokenizer)
+        width = coder.bytes
+        end = np.array([end_id], dtype=f"<u{width}").tobytes()
         shard, chunk, held_ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def closed() -> pa.RecordBatch:
-            ends = np.cumsum([len(x) for x in held])
+            ends = np.cumsum([len(x) // width for x in held])
             ef = EliasFano.encode(ends, int(ends[-1]))
             null = np.packbits(np.array([d is None for d in held_ids], dtype=np.uint8), bitorder="little").tobytes()
-            row = (shard, chunk, len(held), int(ends[-1]), np.array([d or 0 for d in held_ids], dtype="<i8").tobytes(), null, width, np.concatenate(held).tobytes(), ef.low_bits, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes())
+            row = (shard, chunk, len(held), int(ends[-1]), np.array([d or 0 for d in held_ids], dtype="<i8").tobytes(), null, width, b"".join(held), ef.low_bits, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes())
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _CHUNKS, strict=True)], schema=_CHUNKS)
 
         for batch in batches:
             for ids, texts in _parts(batch):
-                for doc_id, coded in zip(ids, tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                for doc_id, coded in zip(ids, coder(texts), strict=True):
                     held_ids.append(doc_id)
-                    held.append(np.array([*coded.ids, end_id], dtype=f"<u{width}"))
-                    size += len(held[-1])
+                    held.append(coded + end)
+                    size += len(held[-1]) // width
                     if size >= chunk_ids:
                         yield closed()
                         chunk, held_ids, held, size = chunk + 1, [], [], 0
