@@ -109,7 +109,9 @@ class Coder:
         return [next(whole) if p is None else b"".join(map(known, p)) for p in parts]
 
 
-_coder = cache(Coder)
+@cache
+def _coder(path: str) -> Coder:
+    return Coder(path)
 
 
 CHUNKS = "shard int, chunk int, n_docs long, n_ids long, doc_ids binary, nulls binary, id_bytes int, ids binary, low_bits int, low binary, high binary, samples binary"
