@@ -1,6 +1,7 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-Hashed counts of words and of word shapes (letter case, digits, signs; runs collapsed) are weighted by inverse document
+Hashed counts of words and of word shapes (letter case, digits, signs; runs
+collapsed), and of repeated word pairs, are weighted by inverse document
 frequency over all documents and projected on the leading right singular vectors of a bounded sample of labelled rows.
 The sample's vectors are broadcast; each document's cosine with every one of them is computed in blocks, and the
 labels of its K nearest vote with the squares of their similarities.
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import byte_words
 
-WORD_DIM, SHAPE_DIM = 2048, 512
-DIM = WORD_DIM + SHAPE_DIM
+WORD_DIM, SHAPE_DIM, REPEAT_DIM = 2048, 512, 8
+DIM = WORD_DIM + SHAPE_DIM + REPEAT_DIM
 SAMPLE, RANK, K = 2048, 48, 15
 KEEP = 0.7
 ROWS = 256
@@ -38,10 +39,14 @@ _RUN = re.compile(rb"([A-Za9])\1+")
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Places and counts of a text's features."""
-    words = Counter(byte_words(text))
+    listed = byte_words(text)
+    words, again = Counter(listed), max(0, len(listed) - 1 - len(set(zip(listed, listed[1:], strict=False))))
     shapes = Counter(_RUN.sub(rb"\1", (text or "").encode("utf-8", "surrogatepass").translate(_SHAPE)).split())
     at = [zlib.crc32(w) % WORD_DIM for w in words] + [WORD_DIM + zlib.crc32(s) % SHAPE_DIM for s in shapes]
     n = [*words.values(), *shapes.values()]
+    if again:  # word pairs that came before, by their share of all
+        at.append(WORD_DIM + SHAPE_DIM + min(REPEAT_DIM - 1, again * REPEAT_DIM // len(listed)))
+        n.append(again)
     places, inverse = np.unique(np.array(at, dtype=np.int64), return_inverse=True)
     return places, np.bincount(inverse, weights=n, minlength=len(places)) if len(at) else np.zeros(0)
 
