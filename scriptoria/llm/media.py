@@ -149,7 +149,7 @@ def tiles(media: DataFrame, column: str = "media", shape: tuple[int, int] = TILE
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["_row", "height", "width", "tile", "feature"])
 
     packed = media.select(F.col(column).alias("_media"), F.struct(*media.columns).alias("_row"))
-    schema = packed.select("_row").schema.add("height", "int").add("width", "int").add("tile", "binary").add("feature", "string")
+    schema = packed.select("_row").schema.add("height", "integer").add("width", "integer").add("tile", "binary").add("feature", "string")
     return packed.mapInArrow(run, schema).select("_row.*", "height", "width", "tile", "feature")
 
 
