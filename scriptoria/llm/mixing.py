@@ -42,19 +42,19 @@ def mix(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, sal
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{salt}")))
     src = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     rows = docs.withColumn("size", F.regexp_count(text_of(), F.lit(WORD)).cast("long")).withColumn("_src", src).withColumn("_key", key)
-    rows = rows.withColumn("_bucket", F.substring("_key", 1, BUCKET_HEX))
+    rows = rows.withColumn("_bucket", F.substring("_key", 1, BUCKET_HEX)).withColumn("_tie", F.xxhash64("text"))  # before the shuffle, which then needs no text
     buckets = rows.groupBy("_src", "_bucket").agg(F.sum("size").alias("n"))
     targets = source_targets(buckets.groupBy("_src").agg(F.sum("n").alias("source_size")), cap, weights)
     up_to = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     budget = F.round("target").cast("long")
     plan = buckets.withColumn("before", F.coalesce(F.sum("n").over(up_to), F.lit(0))).join(targets, "_src")
     plan = plan.select("_src", "_bucket", "before", "source_size", "target", F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0).alias("epochs"), budget.alias("budget"))
-    within = Window.partitionBy("_src", "_bucket").orderBy("_key", "size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("_src", "_bucket").orderBy("_key", "size", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = rows.join(plan, ["_src", "_bucket"])
     ahead = F.col("before") + F.sum("size").over(within) - F.col("size")
     rest = F.col("budget") - F.col("epochs") * F.col("source_size")
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - ahead))
-    return both.withColumn("taken", taken.cast("long")).drop("_src", "_bucket", "_key", "before", "epochs", "budget")
+    return both.withColumn("taken", taken.cast("long")).drop("_src", "_bucket", "_key", "_tie", "before", "epochs", "budget")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
