@@ -95,17 +95,12 @@ def apply_dictionary(text: Column) -> Column:
 
 
 def strip_endings(text: Column) -> Column:
-    """Consonants that no Italian word ends in are taken off the ends of words, unless a full stop follows."""
-    tokens = F.regexp_extract_all(text, F.lit(rf"[{W}]+\.?|[^{W}]+"), F.lit(0))
-
-    def cut(t: Column) -> Column:
-        caps = ~t.rlike("[a-z]")
-        one = F.when(caps, t).otherwise(F.regexp_replace(t, f"[{K}]+$", ""))
-        two = F.when((F.octet_length(one) == 2) & one.rlike(f"(?i)[{K}]$"), F.substring(one, 1, 1)).otherwise(one)
-        last = (F.octet_length(two) == 1) & two.rlike(f"(?i)^[{K}]$") & (two.rlike("[a-z]") | ~caps)
-        return F.when(t.endswith(".") | ~t.rlike(f"^[{W}]"), t).when(last, "").otherwise(two)
-
-    return F.array_join(F.transform(tokens, cut), "")
+    """Consonants that no Italian word ends in are taken off the ends of words, unless a full stop follows. Three passes:
+    capitals after a word that has small letters; words of nothing but one or two such consonants; the second of two characters."""
+    small, begin, end = K.lower(), f"(?<![{W}])", f"(?![{W}.])"
+    out = F.regexp_replace(text, f"{begin}(?=[{W}]*[a-z])([{W}]*?)[{K}]+{end}", "$1")
+    out = F.regexp_replace(out, f"{begin}(?:[{small}][{K}{small}]?|[{K}][{small}]){end}", "")
+    return F.regexp_replace(out, f"{begin}([0-9A-Za-z'])[{K}{small}]{end}", "$1")
 
 
 def drop_garbage(text: Column) -> Column:

@@ -62,3 +62,20 @@ def retention(keys: Column, summary: Column, none: float = 100.0) -> Column:
     distinct = F.array_distinct(F.transform(keys, lambda k: F.lower(k)))
     found = F.size(F.filter(distinct, lambda k: F.lower(summary).contains(k)))
     return F.when(F.size(distinct) == 0, none).otherwise(F.round(found * 100.0 / F.greatest(F.size(distinct), F.lit(1)), 1))
+
+
+def clean_span(word: Column) -> Column:
+    """White space and punctuation off both ends, runs of white space to one space."""
+    edge = r"[\s.,;:!?\"'’“”«»()\[\]{}\-–—]+"
+    return F.regexp_replace(F.regexp_replace(word, f"^{edge}|{edge}$", ""), r"\s+", " ")
+
+
+def normal_word(word: Column) -> Column:
+    """Lower case, letters, digits and spaces only, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(word), r"(?U)[^\p{Alnum}\s]", ""))
+
+
+def fuzzy_match(a: Column, b: Column) -> Column:
+    """Equal; or one of three characters or more inside the other; or equal without spaces."""
+    tight = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    return (a == b) | ((F.length(a) >= 3) & F.contains(b, a)) | ((F.length(b) >= 3) & F.contains(a, b)) | (tight(a) == tight(b))

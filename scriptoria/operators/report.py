@@ -15,8 +15,8 @@ STOPWORDS = (
 
 def terms(chunks: DataFrame) -> DataFrame:
     """doc_id, idx, word: words of three letters or more (Latin-1), in lower case, without stopwords."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-zà-ÿ]{3,}$"))
-    return chunks.select("doc_id", "idx", F.explode(words).alias("word")).where(~F.col("word").isin(*STOPWORDS))
+    rows = chunks.select("doc_id", "idx", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("word"))
+    return rows.where(F.col("word").rlike("^[a-zà-ÿ]{3,}$") & ~F.col("word").isin(*STOPWORDS))
 
 
 def term_frequency(chunks: DataFrame) -> DataFrame:
@@ -60,6 +60,22 @@ def nearest(left: DataFrame, right: DataFrame, group: str, at: str, other: str,
     return rows.withColumn("dist", F.abs(F.col(at) - F.col(other))).withColumn("is_match", F.coalesce(F.col("dist") <= tolerance, F.lit(False)))
 
 
+def section_representatives(rows: DataFrame, group: str, section: str, order: str) -> DataFrame:
+    """The first row of each section: group, section, and its place (at) among all rows of the group."""
+    w = Window.partitionBy(group).orderBy(order)
+    return rows.withColumn("at", F.row_number().over(w)).groupBy(group, section).agg(F.min("at").alias("at"))
+
+
+def cross_pairs(rows: DataFrame, group: str, section: str, order: str, most: int = 20) -> DataFrame:
+    """group, a, b: each section with the first later one that is at least max(3, a third of all sections) further on; the first most of each group."""
+    reps = section_representatives(rows, group, section, order)
+    w = Window.partitionBy(group).orderBy(section)
+    reps = reps.withColumn("nth", F.row_number().over(w)).withColumn("gap", F.greatest(F.lit(3), F.floor(F.count(F.lit(1)).over(Window.partitionBy(group)) / 3)))
+    later = reps.select(group, F.col(section).alias("b"), F.col("nth").alias("nth"))
+    pairs = reps.select(group, F.col(section).alias("a"), (F.col("nth") + F.col("gap")).alias("nth")).join(later, [group, "nth"])
+    return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy("a"))).where(F.col("_n") <= most).select(group, "a", "b")
+
+
 def boundary_scores(gold: DataFrame, local: DataFrame, tolerance: int) -> DataFrame:
     """One row: matched and all boundaries of both sides, precision, recall, f1. gold: g, local: l."""
     within = F.abs(F.col("l") - F.col("g")) <= tolerance

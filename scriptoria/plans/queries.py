@@ -9,6 +9,8 @@ from ..functions import cleaning as C
 from ..operators import chunks as H
 from ..operators import entities as E
 from ..operators import report as R
+from ..operators import splitting as P
+from ..operators import summaries as M
 from ..sources import books as B
 from ..streaming import events as S
 from .registry import query
@@ -308,9 +310,9 @@ def label_prf_rollup(spark, sf_dir):
     return R.label_scores(rows, "source", F.col("n_chars") > 1000, F.col("quality") == 1)
 
 
-_NEAR = """WITH a AS (SELECT user_id, epoch(ts)::BIGINT AS at, event_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)), b AS (SELECT DISTINCT user_id, epoch(ts)::BIGINT AS near FROM events WHERE event_type = (SELECT max(event_type) FROM events)),
-n AS (SELECT a.user_id, a.at, a.event_id, arg_min(near, abs(near - at) * 2 + CASE WHEN near > at THEN 1 ELSE 0 END) AS near FROM a LEFT JOIN b USING (user_id) GROUP BY ALL),
-d AS (SELECT user_id, at, near, abs(at - near) AS dist, coalesce(abs(at - near) <= 1500, false) AS is_match FROM n)"""
+_NEAR = """WITH a AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS p, event_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)), b AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS q FROM events WHERE event_type = (SELECT max(event_type) FROM events)),
+n AS (SELECT a.user_id, a.p, a.event_id, arg_min(q, abs(q - p) * 2 + CASE WHEN q > p THEN 1 ELSE 0 END) AS near FROM a LEFT JOIN b USING (user_id) GROUP BY a.user_id, a.p, a.event_id),
+d AS (SELECT user_id, p AS "at", near, abs(p - near) AS dist, coalesce(abs(p - near) <= 1500, false) AS is_match FROM n)"""
 
 
 def _nearest(spark, sf_dir):
@@ -381,3 +383,64 @@ def adjacent_jaccard(spark, sf_dir):
     rows = keys.withColumn("p", F.lag("k").over(Window.partitionBy("source").orderBy("doc_id"))).where("p IS NOT NULL")
     both = F.size(F.array_union("k", "p"))
     return rows.select("source", "doc_id", F.when(both == 0, 1.0).otherwise(F.round(F.size(F.array_intersect("k", "p")) / F.greatest(both, F.lit(1)), 6)).alias("jaccard"))
+
+
+@query()
+def size_split(spark, sf_dir):
+    return P.size_split(_t(spark, sf_dir, "documents"))
+
+
+@query("SELECT conv_id, role, count(*) AS num_chunks, CAST(sum(length(text)) AS BIGINT) AS total_chars, substr(string_agg(text, ' ' ORDER BY turn), 1, 300) AS summary FROM conversations GROUP BY conv_id, role")
+def section_summaries(spark, sf_dir):
+    return M.sections(_t(spark, sf_dir, "conversations"), "conv_id", "role", "turn")
+
+
+_BOOKS = """WITH s AS (SELECT source, doc_id AS pos, substr(text, 1, 300) AS s FROM documents WHERE trim(substr(text, 1, 300), ' ') <> ''), a AS (SELECT source, s, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY pos) - 1 AS i FROM s),
+b AS (SELECT source, CASE WHEN n > 10 THEN i // 10 ELSE i END AS pos, n > 10 AS many, string_agg(s, chr(10) || chr(10) ORDER BY i) AS j FROM a GROUP BY ALL), c AS (SELECT source, pos, CASE WHEN many THEN substr(j, 1, 300) ELSE j END AS s FROM b),
+d AS (SELECT source, s, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY pos) - 1 AS i FROM c WHERE trim(s, ' ') <> ''),
+e AS (SELECT source, CASE WHEN n > 4 THEN i // 4 ELSE i END AS pos, n > 4 AS many, string_agg(s, chr(10) || chr(10) ORDER BY i) AS j FROM d GROUP BY ALL), f AS (SELECT source, pos, CASE WHEN many THEN substr(j, 1, 300) ELSE j END AS s FROM e)
+SELECT source, count(*) AS parts, string_agg(s, chr(10) || chr(10) ORDER BY pos) AS global_summary FROM f GROUP BY source"""
+
+
+@query(_BOOKS)
+def book_summaries(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select("source", "doc_id", M.lead(F.col("text")).alias("summary"))
+    return M.books(rows, "source", "doc_id")
+
+
+@query("""WITH r AS (SELECT source, lang, min(n) AS at FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM (SELECT source, doc_id // 40 AS lang, doc_id FROM documents)) GROUP BY source, lang),
+q AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lang) AS nth, greatest(3, count(*) OVER (PARTITION BY source) // 3) AS gap FROM r)
+SELECT source, a, b FROM (SELECT x.source, x.lang AS a, y.lang AS b, row_number() OVER (PARTITION BY x.source ORDER BY x.lang) AS n FROM q x JOIN q y ON x.source = y.source AND y.nth = x.nth + x.gap) WHERE n <= 20""")
+def cross_pairs(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select("source", "doc_id", F.floor(F.col("doc_id") / 40).alias("section"))
+    return R.cross_pairs(rows, "source", "section", "doc_id")
+
+
+@query("SELECT source, round(avg(r), 1) AS avg_retention FROM (SELECT source, CASE WHEN len(k) = 0 THEN 100.0 ELSE round(len(list_filter(k, lambda x: contains(lower(s), x))) * 100.0 / len(k), 1) END AS r FROM (SELECT source, list_distinct(list_transform(regexp_extract_all(text, '[A-Z][a-z]{2,}'), lambda x: lower(x))) AS k, substr(text, 1, 300) AS s FROM documents)) GROUP BY source")
+def retention_average(spark, sf_dir):
+    keys = F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,}"), F.lit(0))
+    rows = _t(spark, sf_dir, "documents").select("source", E.retention(keys, F.substring("text", 1, 300)).alias("r"))
+    return rows.groupBy("source").agg(F.round(F.avg("r"), 1).alias("avg_retention"))
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) AS n FROM documents) WHERE n = 1")
+def upload_dedupe(spark, sf_dir):
+    return B.latest(_t(spark, sf_dir, "documents"), ["source", "lang"], "doc_id").select("doc_id", "source")
+
+
+@query("SELECT doc_id, length(text) AS chars, len(list_filter(string_split_regex(text, '[ \t\n\r\f\x0B]+'), lambda w: w <> '')) AS words, substr(text, 1, 50000) AS preview FROM documents")
+def text_preview(spark, sf_dir):
+    words = F.size(F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda w: w != ""))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars"), words.alias("words"), F.substring("text", 1, 50000).alias("preview"))
+
+
+_PAIR = """WITH e AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}'))) AS w FROM documents), f AS (SELECT doc_id, w, count(*) AS n FROM e GROUP BY doc_id, w), t AS (SELECT doc_id, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS k FROM f) WHERE k <= 5)"""
+
+
+@query(f"{_PAIR} SELECT a.doc_id, a.w AS a, b.w AS b FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.w < b.w AND (contains(b.w, a.w) OR contains(a.w, b.w))")
+def fuzzy_candidates(spark, sf_dir):
+    """Pairs that match loosely among each document's five most frequent words (a top-k report)."""
+    rows = E.extract(_t(spark, sf_dir, "documents")).groupBy("doc_id", E.normal_word(F.col("word")).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    top = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "w"))).where("k <= 5").select("doc_id", "w")
+    a, b = top.withColumnRenamed("w", "a"), top.withColumnRenamed("w", "b")
+    return a.join(b, "doc_id").where((F.col("a") < F.col("b")) & E.fuzzy_match(F.col("a"), F.col("b"))).select("doc_id", "a", "b")

@@ -75,3 +75,20 @@ def test_chunks_round_trip(spark, tmp_path):
 def test_every_query_runs_small(spark):
     for name, q in registry.queries().items():
         assert q(spark, "/root/testdata/sf0.001").columns, name
+
+
+def test_split_covers_the_text():
+    from scriptoria.operators.splitting import split
+
+    text = "Una frase. " * 700 + "x" * 5000 + "\n\n" + "Fine! " * 300
+    pieces = split(text)
+    assert all(len(p) <= 2000 for p, _, _ in pieces) and pieces[0][1] == 0
+    assert all(b <= e and b > a for (_, a, e), (_, b, _) in zip(pieces, pieces[1:], strict=False)) and text.strip().endswith(pieces[-1][0])
+    assert split(None) == [] and split(" ") == [] and split("ab") == [("ab", 0, 2)]
+    shift = split("a. " * 1000, entities=[(i, "x" if i < 1850 else "y") for i in range(0, 3000, 50)])
+    assert shift[0][2] <= 1852
+
+
+def test_fuzzy(spark):
+    rows = spark.createDataFrame([("anna", "annalisa"), ("la spezia", "laspezia"), ("ab", "cabo"), ("roma", "pisa")], "a string, b string").select(E.fuzzy_match(F.col("a"), F.col("b")).alias("m")).collect()
+    assert [r.m for r in rows] == [True, True, False, False]
