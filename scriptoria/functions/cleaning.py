@@ -130,6 +130,21 @@ def clean(text: Column) -> Column:
     return text
 
 
+#: The second cleaner's patterns, in order; its dictionary differs in the last entries.
+SEMANTIC = (
+    (r"\b([B-DF-HJ-NP-TV-Z]) ([a-zàèéìòù]+)\b", "$1$2"), (r"\bO nde\b", "Onde"), (r"\bI nghilterra\b", "Inghilterra"), (r"\bI Spagna\b", "In Spagna"), (r"\bI o\b", "Io"),
+    (r"\bU rbino\b", "Urbino"), (r"\bM essina\b", "Messina"), (r"([a-zàèéìòù])([A-Z])", "$1 $2"), (r"\bCap([IVXLCDM]+)\b", "Cap $1"),
+)
+SEMANTIC_CORRECTIONS = (*CORRECTIONS[:20], ("ALLO ILLUSTRI S 1 O E ECCELLENTISSIMOSIGNORE", "ALLO ILLUSTRISSIMO E ECCELLENTISSIMO SIGNORE"))
+
+
+def semantic_clean(text: Column) -> Column:
+    """The second, lighter cleaner: detached capitals, run-together words, chapter numerals, dictionary."""
+    for regex, to in SEMANTIC:
+        text = F.regexp_replace(text, f"(?U){regex}", to)
+    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), SEMANTIC_CORRECTIONS, text)
+
+
 def apply_corrections(text: Column, corrections: Column) -> Column:
     """All occurrences of each correction's errato become its corretto, in order; empty sides are passed over."""
     return F.aggregate(corrections, text, lambda t, c: F.when((c["errato"] != "") & (c["corretto"] != ""), F.replace(t, c["errato"], c["corretto"])).otherwise(t))

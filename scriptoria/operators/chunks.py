@@ -45,6 +45,20 @@ def frame_boundaries(rows: DataFrame, group: list[str], order: str, keys: str, f
     return rows.withColumn("shared", F.when(~first, shared)).withColumn("boundary", ~first & (shared < least))
 
 
+def chapters(rows: DataFrame, group: list[str], order: str, keys: str) -> DataFrame:
+    """group, section, first, last, keys, chapter: rows cut into sections where no key of the four rows before recurs, and
+    sections into chapters where fewer than two keys of the three sections before do."""
+
+    def numbered(some: DataFrame, by: str, name: str, frame: int, least: int) -> DataFrame:
+        cut = frame_boundaries(some, group, by, keys, frame, least)
+        return cut.withColumn(name, F.sum(F.col("boundary").cast("int")).over(Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)))
+
+    sections = numbered(rows, order, "section", 4, 1).groupBy(*group, "section").agg(
+        F.min(order).alias("first"), F.max(order).alias("last"), F.array_distinct(F.flatten(F.collect_list(keys))).alias(keys)
+    )
+    return numbered(sections, "section", "chapter", 3, 2).withColumn("chapter", F.col("chapter") + 1).drop("shared", "boundary")
+
+
 def islands(rows: DataFrame, group: list[str], order: str, value: Column) -> DataFrame:
     """rows with island: the number of the run of equal values."""
     w = Window.partitionBy(*group).orderBy(order)

@@ -65,9 +65,10 @@ def retention(keys: Column, summary: Column, none: float = 100.0) -> Column:
 
 
 def clean_span(word: Column) -> Column:
-    """White space and punctuation off both ends, runs of white space to one space."""
-    edge = r"[\s.,;:!?\"'’“”«»()\[\]{}\-–—]+"
-    return F.regexp_replace(F.regexp_replace(word, f"^{edge}|{edge}$", ""), r"\s+", " ")
+    """White space, then punctuation, off both ends; runs of white space to one space."""
+    for edge in (r"(?U)\s+", r"['’\"“”‘()\[\]{}.,;:!?\-]+"):
+        word = F.regexp_replace(word, f"^{edge}|{edge}$", "")
+    return F.regexp_replace(word, r"(?U)\s+", " ")
 
 
 def normal_word(word: Column) -> Column:

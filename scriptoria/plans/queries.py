@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as C
 from ..operators import chunks as H
 from ..operators import entities as E
+from ..operators import reading as D
 from ..operators import report as R
 from ..operators import splitting as P
 from ..operators import summaries as M
+from ..operators import windows as N
 from ..sources import books as B
+from ..sources import sinks as K
 from ..streaming import events as S
 from .registry import query
 
@@ -444,3 +447,55 @@ def fuzzy_candidates(spark, sf_dir):
     top = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "w"))).where("k <= 5").select("doc_id", "w")
     a, b = top.withColumnRenamed("w", "a"), top.withColumnRenamed("w", "b")
     return a.join(b, "doc_id").where((F.col("a") < F.col("b")) & E.fuzzy_match(F.col("a"), F.col("b"))).select("doc_id", "a", "b")
+
+
+_SHARED = "b AS (SELECT a.conv_id, a.turn, count(DISTINCT p.w) FILTER (WHERE list_contains(a.keys, p.w)) AS shared FROM k a JOIN (SELECT conv_id, turn, unnest(keys) AS w FROM k) p ON p.conv_id = a.conv_id AND p.turn BETWEEN a.turn - 4 AND a.turn - 1 GROUP BY a.conv_id, a.turn)"
+
+
+@query(f"""WITH {_KEYS}, {_SHARED}, x AS (SELECT conv_id, turn, keys, sum(CASE WHEN turn > m AND coalesce(shared, 0) < 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS section
+  FROM k LEFT JOIN b USING (conv_id, turn) JOIN (SELECT conv_id, min(turn) AS m FROM k GROUP BY conv_id) USING (conv_id)),
+s AS (SELECT conv_id, CAST(section AS BIGINT) AS section, min(turn) AS "first", max(turn) AS "last", list_distinct(flatten(list(keys))) AS keys FROM x GROUP BY conv_id, section),
+c AS (SELECT a.conv_id, a.section, count(DISTINCT p.w) FILTER (WHERE list_contains(a.keys, p.w)) AS shared FROM s a JOIN (SELECT conv_id, section, unnest(keys) AS w FROM s) p ON p.conv_id = a.conv_id AND p.section BETWEEN a.section - 3 AND a.section - 1 GROUP BY a.conv_id, a.section)
+SELECT conv_id, section, "first", "last", CAST(1 + sum(CASE WHEN section > 0 AND coalesce(shared, 0) < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY section) AS BIGINT) AS chapter FROM s LEFT JOIN c USING (conv_id, section)""")
+def ner_chapters(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,}"), F.lit(0))).alias("keys"))
+    return H.chapters(rows, ["conv_id"], "turn", "keys").select("conv_id", "section", "first", "last", "chapter")
+
+
+@query()
+def entity_windows(spark, sf_dir):
+    return N.entity_windows(_t(spark, sf_dir, "documents"))
+
+
+@query("""SELECT conv_id, turn, replace(CASE WHEN len(w) = 0 THEN t ELSE regexp_replace(t, '(' || array_to_string(list_transform(list_reverse_sort(list_transform(w, lambda x: {'n': length(x), 'w': x})), lambda x: x.w), '|') || ')', '<span class="hl-per" title="PER">\\1</span>', 'g') END, chr(10), '<br>') AS html
+FROM (SELECT conv_id, turn, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{2,}')) AS w FROM conversations)""")
+def entities_highlight(spark, sf_dir):
+    words = F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,}"), F.lit(0))
+    marks = F.transform(words, lambda w: F.struct(F.lit("PER").alias("label"), w.alias("word")))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", D.highlight(F.col("text"), marks).alias("html"))
+
+
+@query()
+def entities_snap(spark, sf_dir):
+    """Spans of five characters, one for every twenty, moved to the edges of words."""
+    rows = _t(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(20))).alias("at"))
+    return rows.withColumn("s", D.snap(F.col("text"), F.col("at"), F.least(F.col("at") + 5, F.length("text")))).select("doc_id", "at", "s.start", "s.end")
+
+
+@query()
+def entities_one_to_one(spark, sf_dir):
+    """Capitalised words of each turn against those of the next."""
+    words = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,}"), F.lit(0))), lambda w: F.lower(w))
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("gold")).withColumn("found", F.lead("gold").over(Window.partitionBy("conv_id").orderBy("turn"))).where("found IS NOT NULL")
+    return rows.select("conv_id", "turn", F.size("gold").alias("n_gold"), F.size("found").alias("n_found"), F.size(D.match_one_to_one(F.col("gold"), F.col("found"))).alias("tp"))
+
+
+@query()
+def clean_semantic(spark, sf_dir):
+    return _map(spark, sf_dir, C.semantic_clean)
+
+
+@query("""SELECT conv_id, string_agg('=== ' || role || ' ===' || chr(10) || chr(10) || trim(text, ' '), chr(10) || chr(10) || repeat('=', 60) || chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE trim(text, ' ') <> '' GROUP BY conv_id""")
+def export_summaries(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("topic_hint"), F.col("text").alias("summary"))
+    return K.joined_summaries(rows, "conv_id", "turn").select("conv_id", "text")

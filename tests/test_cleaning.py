@@ -47,3 +47,9 @@ def test_corrections(spark):
 
 def test_null_stays_null(spark):
     assert run(spark, C.clean, None) == [None]
+
+
+def test_semantic_clean(spark):
+    rows = [("G iovanni e AndreaTaffi, CapXII",), ("I Spagna O nde",), ("col padre",)]
+    got = spark.createDataFrame(rows, "t string").select(C.semantic_clean(F.col("t")).alias("t")).collect()
+    assert [r.t for r in got] == ["Giovanni e Andrea Taffi, Cap XII", "In Spagna Onde", "colpadre"]

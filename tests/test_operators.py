@@ -92,3 +92,77 @@ def test_split_covers_the_text():
 def test_fuzzy(spark):
     rows = spark.createDataFrame([("anna", "annalisa"), ("la spezia", "laspezia"), ("ab", "cabo"), ("roma", "pisa")], "a string, b string").select(E.fuzzy_match(F.col("a"), F.col("b")).alias("m")).collect()
     assert [r.m for r in rows] == [True, True, False, False]
+
+
+def test_entity_windows_cover_sections():
+    from scriptoria.operators.windows import heading_sections, paragraphs, runs, sentence_spans, windows
+
+    text = "Prologo.\n\nCAPITOLO IV\n" + "Una frase corta. " * 300 + "\n\n" + "y" * 2600 + "\n\nCanto 2\nFine."
+    assert [h for _, _, h in heading_sections(text)] == [None, "CAPITOLO IV", "Canto 2"]
+    assert heading_sections("x") == [(0, 1, None)] and windows(None) == [] and windows(" \n\n ") == []
+    assert paragraphs("a\n\n\nb\n \n\n", 0, 9) == [(0, 1), (4, 7)]
+    spans = sentence_spans(text, 0, len(text), 500, 2000)
+    assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert runs([(0, 600), (600, 1200), (1200, 2300)], 500, 2000, 0) == [(0, 1), (2, 2)]
+    got = windows(text)
+    assert all(text[s:e].strip() == t and t for _, _, s, e, t in got) and got[0][1] is None and got[-1][1] == "Canto 2"
+    covered = set().union(*(range(s, e) for _, _, s, e, _ in got))
+    assert all(i in covered for i, c in enumerate(text) if not c.isspace())
+    sliding = windows("z" * 5000)
+    assert [(s, e) for _, _, s, e, _ in sliding] == [(0, 2000), (1700, 3700), (3400, 5000)]
+
+
+def _snap(text, start, end):
+    parts, s, e = set(" \n'\"()[]{}.,;:!?-–—/\\"), start, end
+    while s > 0 and start - s < 2 and text[s - 1] not in parts:
+        s -= 1
+    while s < e and s - start < 2 and text[s] in parts:
+        s += 1
+    while e < len(text) and e - end < 2 and text[e] not in parts:
+        e += 1
+    while e > s and end - e < 2 and text[e - 1] in parts:
+        e -= 1
+    return s, e
+
+
+def test_snap_matches_a_loop(spark):
+    from scriptoria.operators import reading as D
+
+    text = "Ecco, (Anna)  e Marco-Polo... à Roma/Pisa"
+    rows = [(text, s, e) for s in range(len(text)) for e in range(s, min(len(text), s + 7) + 1)]
+    got = spark.createDataFrame(rows, "t string, s int, e int").withColumn("x", D.snap(F.col("t"), F.col("s"), F.col("e"))).collect()
+    assert [tuple(r.x) for r in got] == [_snap(r.t, r.s, r.e) for r in got]
+    trimmed = spark.createDataFrame([(" (Anna). ", 0, 9), ("...", 0, 3)], "t string, s int, e int").select(D.trim_span(F.col("t"), F.col("s"), F.col("e")).alias("x")).collect()
+    assert [tuple(r.x) for r in trimmed] == [(2, 6), (3, 3)]
+
+
+def test_highlight(spark):
+    from scriptoria.operators import reading as D
+
+    rows = [("a <Roma> di Roma Nuova\nx", [("LOC", "Roma"), ("LOC", "Roma Nuova"), ("PER", "Roma")]), ("a&b", []), ("c++ (x)", [("ORG", "c++"), ("ORG", "(x)")])]
+    got = spark.createDataFrame(rows, "t string, e array<struct<label:string,word:string>>").select(D.highlight(F.col("t"), F.col("e")).alias("h")).collect()
+    mark = lambda label, w: f'<span class="hl-{label.lower()}" title="{label}">{w}</span>'
+    assert [r.h for r in got] == [f"a &lt;{mark('LOC', 'Roma')}&gt; di {mark('LOC', 'Roma Nuova')}<br>x", "a&amp;b", f"{mark('ORG', 'c++')} {mark('ORG', '(x)')}"]
+
+
+def test_one_to_one(spark):
+    from scriptoria.operators import reading as D
+
+    rows = [(["anna", "anna", "roma", "ab"], ["annalisa", "roma", "anna"]), ([], ["x"]), (["x"], [])]
+    got = spark.createDataFrame(rows, "g array<string>, f array<string>").select(D.match_one_to_one(F.col("g"), F.col("f")).alias("m")).collect()
+    assert [[tuple(p) for p in r.m] for r in got] == [[("anna", "annalisa"), ("anna", "anna"), ("roma", "roma")], [], []]
+
+
+def test_exports(spark):
+    rows = spark.createDataFrame([("b", 2, "Due", " fine "), ("b", 1, None, "inizio"), ("b", 3, "Tre", " ")], "book string, i int, topic_hint string, summary string")
+    assert sinks.joined_summaries(rows, "book", "i").first()["text"] == "=== Sezione 1 ===\n\ninizio\n\n" + "=" * 60 + "\n\n=== Due ===\n\nfine"
+    book = spark.createDataFrame([("T", None, "m", "ner", "2026-01-02T03:04", "parola " * 30 + "\n\nfine")], "title string, author string, model string, method string, created_at string, summary string")
+    got = sinks.synopsis(book).first()
+    known = json.loads(got.json)
+    assert (known["autore"], known["data_generazione"], known["num_parole"]) == ("N/D", "2026-01-02", 31)
+    assert all(len(x) <= 100 for x in got.text.split("\n")) and got.text.endswith("\n\nfine")
+
+
+def test_clean_span(spark):
+    got = spark.createDataFrame([(" .Anna  Bolena. ",), ("-",), ("«x»",)], "w string").select(E.clean_span(F.col("w")).alias("w")).collect()
+    assert [r.w for r in got] == ["Anna Bolena", "", "«x»"]
