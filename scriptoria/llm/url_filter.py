@@ -1,9 +1,9 @@
 """URL filters on DataFrame functions alone: rules first, then a path-template tree learnt from what the rules decide.
 
 Per host, urls are counted by path template: segments that look variable (numbers, hashes, dates, long ones) become ``*``, as
-do the children of a node that has many rare ones. Branches of a host that are statistically alike (same
-depth, wildcards in the same places) are merged. Urls that a rule decides are the labels; a merged
-template is rejected if its smoothed share of blocked labels, in which its unlabelled urls count half at the rate of
+do the children of a node that has many rare ones. Urls that a rule decides are the labels. Branches of a host that have the same
+depth and wildcards in the same places are merged, unless a branch's blocked labels are more than APART standard
+deviations from what the share among all of them makes likely: such a branch stands alone. A merged template is rejected if its smoothed share of blocked labels, in which its unlabelled urls count half at the rate of
 all hosts, is at least REJECT.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, and is allowed unless a rule fits; repeated
@@ -22,6 +22,7 @@ from .common import ascii_lower
 DEPTH = 4
 MANY, RARE = 8, 3.0  # children of a node; urls for each of them, below which they are variable
 SMOOTH, HALF, REJECT = 4.0, 0.5, 0.6
+APART = 2.0
 VARIABLE = r"^(?:\d+|[0-9a-f]{8,}|\d{4}-\d{2}(?:-\d{2})?|[0-9a-f-]{32,}|.{25,})(?:\.[A-Za-z0-9]{1,5})?$"
 
 
@@ -79,15 +80,20 @@ def templates(urls: DataFrame) -> DataFrame:
 
 
 def purities(units: DataFrame) -> DataFrame:
-    """host, shape, template, branch, purity. Branches of a host are alike if their templates have the same depth and the same
-    places of wildcards."""
-    branch = F.array_join(F.transform("template", lambda s: F.when(s.isin("*", "**"), s).otherwise(F.lit("+"))), "/")
-    units = units.withColumn("branch", branch)
-    rate = units.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("rate"))
-    merged = units.groupBy("host", "branch").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    """host, shape, template, branch, purity. A branch is named by its depth and its wildcards, and by its template if it stands alone."""
+    form = F.array_join(F.transform("template", lambda s: F.when(s.isin("*", "**"), s).otherwise(F.lit("+"))), "/")
+    units = units.withColumn("template", F.concat(F.lit("/"), F.array_join("template", "/"))).withColumn("form", form)
+    counted = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+    nodes = units.groupBy("host", "form", "template").agg(*counted)
+    alike = nodes.groupBy("host", "form").agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("share"))
+    far = F.abs(F.col("blocked") - F.col("labelled") * F.col("share")) > APART * F.sqrt(F.col("labelled") * F.col("share") * (1 - F.col("share")))
+    nodes = nodes.join(alike, ["host", "form"]).withColumn("branch", F.when(far, F.col("template")).otherwise(F.col("form")))
+    rate = nodes.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("rate"))
     weight = SMOOTH + HALF * (F.col("n") - F.col("labelled"))
-    merged = merged.join(F.broadcast(rate)).withColumn("purity", (F.col("blocked") + weight * F.col("rate")) / (F.col("labelled") + weight))  # rate: one row
-    return units.join(merged.select("host", "branch", "purity"), ["host", "branch"]).select("host", "shape", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "branch", "purity")
+    merged = nodes.groupBy("host", "branch").agg(*counted).join(F.broadcast(rate))  # rate: one row
+    merged = merged.select("host", "branch", ((F.col("blocked") + weight * F.col("rate")) / (F.col("labelled") + weight)).alias("purity"))
+    judged = nodes.select("host", "template", "branch").join(merged, ["host", "branch"])
+    return units.join(judged, ["host", "template"]).select("host", "shape", "template", "branch", "purity")
 
 
 def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, reject: float = REJECT) -> DataFrame:

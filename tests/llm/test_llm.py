@@ -224,6 +224,14 @@ def test_urls(spark):
     assert all(r.verdict in ("allow", "block") for r in got.values()) and got[1].verdict == "block" and got[0].verdict == "allow"
 
 
+def test_unlike_branches_stand_alone(spark):
+    rows = [("h", ["en", "news"], 0)] * 30 + [("h", ["it", "news"], 1)] * 30 + [("h", ["fr", "shop"], 1), ("h", ["fr", "shop"], 0), ("h", ["es", "shop"], None), ("h", [], None)]
+    units = url_filter.templates(spark.createDataFrame(rows, "host string, shape array<string>, label int"))
+    got = {r.template: r for r in url_filter.purities(units).collect()}
+    assert {t: r.branch for t, r in got.items()} == {"/en/news": "/en/news", "/it/news": "/it/news", "/fr/shop": "+/+", "/es/shop": "+/+", "/": ""}
+    assert got["/en/news"].purity < 0.1 < got["/fr/shop"].purity < 0.9 < got["/it/news"].purity and got["/fr/shop"].purity == got["/es/shop"].purity
+
+
 # ---- 10 token files
 def test_elias_fano():
     rng = np.random.default_rng(5)
