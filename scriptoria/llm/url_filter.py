@@ -82,7 +82,7 @@ def templates(urls: DataFrame) -> DataFrame:
 def purities(units: DataFrame) -> DataFrame:
     """host, shape, template, branch, purity. A branch is named by its depth and its wildcards, and by its template if it stands alone."""
     form = F.array_join(F.transform("template", lambda s: F.when(s.isin("*", "**"), s).otherwise(F.lit("+"))), "/")
-    units = units.withColumn("template", F.concat(F.lit("/"), F.array_join("template", "/"))).withColumn("form", form)
+    units = units.withColumn("form", form).withColumn("template", F.concat(F.lit("/"), F.array_join("template", "/")))
     counted = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
     nodes = units.groupBy("host", "form", "template").agg(*counted)
     alike = nodes.groupBy("host", "form").agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("share"))
