@@ -71,12 +71,12 @@ class EliasFano:
 
 #: How byte-level BPE divides a text before merging; no merge crosses a piece.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 600_000
 
 
 class Coder:
-    """Texts to id bytes by the tokenizers library. For byte-level BPE each distinct piece is coded once and remembered (at most
-    KNOWN_PIECES); texts with special tokens, or with characters whose class may differ between Unicode versions, are coded whole."""
+    """Texts to id bytes by the tokenizers library. For byte-level BPE each distinct piece is coded once and remembered (some
+    KNOWN_PIECES, and as many from before, of which those in use are kept); texts with special tokens, or with characters whose class may differ between Unicode versions, are coded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,6 +91,7 @@ class Coder:
         self.odd = regex.compile(r"[^\x00-\u024F\u2010-\u2027]" + (f"|{special}" if special else ""))
         self.pieces = regex.compile(PIECES)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype=f"<u{self.bytes}").tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,8 +103,11 @@ class Coder:
         whole = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
         parts = [self.pieces.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
         if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        new = list(set().union(*(p for p in parts if p)).difference(self.known))
+            self.known, self.before = {}, self.known
+        new = set().union(*(p for p in parts if p)).difference(self.known)
+        again = new & self.before.keys()
+        self.known.update((x, self.before[x]) for x in again)
+        new = list(new - again)
         self.known.update(zip(new, self._whole(new), strict=True))
         known = self.known.__getitem__
         return [next(whole) if p is None else b"".join(map(known, p)) for p in parts]
