@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut
 
 DEPTH = 4
 MANY, RARE = 8, 3.0  # children of a node; urls for each of them, below which they are variable
@@ -101,6 +101,6 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, reject: float =
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = urls.select("page_id", "host", "path", _segments(F.col("path")).alias("shape"), _fitting(rules, "name").alias("rule"), _fitting(rules, "verdict").alias("ruled"))
     urls = urls.withColumn("label", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0))
-    learnt = purities(templates(urls))
+    learnt = purities(cut(templates(urls)))
     verdict = F.coalesce("ruled", F.when((F.col("purity") >= reject) & (F.col("host") != ""), F.lit("block")).otherwise(F.lit("allow")))
     return urls.join(learnt, ["host", "shape"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
