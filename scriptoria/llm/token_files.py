@@ -11,15 +11,17 @@ rows are documents like any other; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,9 +71,14 @@ class EliasFano:
         return (places - np.arange(self.n)) << self.low_bits | (low << np.arange(self.low_bits)).sum(axis=1)
 
 
+#: The characters whose classes all Unicode versions share, by which texts are divided here; texts with others are coded whole.
+_SURE = [chr(c) for c in (*range(0x250), *range(0x2010, 0x2028))]
+_LETTER, _NUMBER = ("".join(c for c in _SURE if unicodedata.category(c)[0] == k) for k in "LN")
+_SPACE = "\\t-\\r \\x85\\xa0"
 #: How byte-level BPE divides a text before merging; no merge crosses a piece.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KNOWN_PIECES = 600_000
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+UNSURE = re.compile(r"[^\x00-\u024f\u2010-\u2027]")
+KNOWN_PIECES, RUN_PIECES = 600_000, 1024
 
 
 class Coder:
@@ -86,29 +93,48 @@ class Coder:
         self.bytes = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         about = json.loads(self.tok.to_str())
         split = about["pre_tokenizer"] or {}
-        self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not about["normalizer"]
-        special = "|".join(regex.escape(a["content"]) for a in about["added_tokens"])
-        self.odd = regex.compile(r"[^\x00-\u024F\u2010-\u2027]" + (f"|{special}" if special else ""))
-        self.pieces = regex.compile(PIECES)
+        self.special = [a["content"] for a in about["added_tokens"]]
+        self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not about["normalizer"] and not any(re.fullmatch(r"[\w ]+", x) for x in self.special)
+        vocab = self.tok.get_vocab()
+        self.n_bytes = np.zeros(max(vocab.values(), default=0) + 1, dtype=np.int64)  # of byte-level tokens: a character stands for a byte
+        self.n_bytes[list(vocab.values())] = [len(x) for x in vocab]
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype=f"<u{self.bytes}").tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Pieces that are a space and letters: coded in runs, which the tokenizer divides into the same pieces again."""
+        out: list[bytes] = []
+        for i in range(0, len(words), RUN_PIECES):
+            run = words[i : i + RUN_PIECES]
+            ids = self._whole(["".join(run)])[0]
+            reached = np.cumsum(self.n_bytes[np.frombuffer(ids, f"<u{self.bytes}")])
+            ends = np.cumsum([len(x.encode()) for x in run])
+            at = np.searchsorted(reached, ends)
+            if not np.array_equal(reached[at], ends):
+                raise ValueError("the tokenizer's ids do not keep to the pieces of byte-level BPE")
+            cuts = [0, *((at + 1) * self.bytes).tolist()]
+            out += [ids[a:b] for a, b in itertools.pairwise(cuts)]
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._whole(texts)
-        plain = [not self.odd.search(t) for t in texts]
+        plain = [not UNSURE.search(t) and not any(x in t for x in self.special) for t in texts]
         whole = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
-        parts = [self.pieces.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
+        parts = [PIECES.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
         if len(self.known) > KNOWN_PIECES:
             self.known, self.before = {}, self.known
         new = set().union(*(p for p in parts if p)).difference(self.known)
         again = new & self.before.keys()
         self.known.update((x, self.before[x]) for x in again)
-        new = list(new - again)
-        self.known.update(zip(new, self._whole(new), strict=True))
+        new -= again
+        words = [x for x in new if x[0] == " " and x[1:].isalpha()]
+        self.known.update(zip(words, self._words(words), strict=True))
+        others = list(new.difference(words))
+        self.known.update(zip(others, self._whole(others), strict=True))
         known = self.known.__getitem__
         return [next(whole) if p is None else b"".join(map(known, p)) for p in parts]
 

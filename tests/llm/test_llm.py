@@ -242,6 +242,17 @@ def test_elias_fano():
         assert (back.all() == v).all() and [back.select(i) for i in range(0, len(v), 7)] == list(v[::7])
 
 
+def test_pieces_code_as_whole_texts():
+    from tokenizers import Tokenizer
+
+    tok, coder, rng = Tokenizer.from_file(queries.tokenizer_path()), token_files.Coder(queries.tokenizer_path()), random.Random(11)
+    signs = [*map(chr, range(0x250)), *map(chr, range(0x2000, 0x2040)), *" 's're ll  \n\t", "日", " word", " und", " 12", "<|endoftext|>"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(3000)] + ["".join(rng.choices(signs[:591], k=30)) for _ in range(3000)]
+    texts += [" ".join("".join(rng.choices("aeinrstéü", k=rng.randrange(1, 9))) for _ in range(5000))]
+    for _ in range(2):  # the second time from memory
+        assert coder(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+
+
 def test_token_files_match_brute_force(spark, docs, odd):
     from tokenizers import Tokenizer
 
