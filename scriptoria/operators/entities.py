@@ -80,3 +80,17 @@ def fuzzy_match(a: Column, b: Column) -> Column:
     """Equal; or one of three characters or more inside the other; or equal without spaces."""
     tight = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     return (a == b) | ((F.length(a) >= 3) & F.contains(b, a)) | ((F.length(b) >= 3) & F.contains(a, b)) | (tight(a) == tight(b))
+
+
+def join_wordpieces(tokens: DataFrame, group: str, order: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """group, word, label: tokens (label, word) joined to whole words and normalised; each (word, label) of two characters or more once.
+
+    A token that begins with ## goes on the word before it, under that word's label; tokens of other labels end a word."""
+    w = Window.partitionBy(group).orderBy(order)
+    rows = tokens.select(group, order, "word", "label", F.col("label").isin(*labels).alias("known"))
+    rows = rows.withColumn("goes_on", F.col("word").startswith("##"))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("known") & F.col("goes_on"), 0).otherwise(1)).over(w))
+    rows = rows.withColumn("of", F.last(F.when(F.col("known") & ~F.col("goes_on"), F.col("label")), ignorenulls=True).over(w)).where("known")
+    words = rows.groupBy(group, "run").agg(F.array_sort(F.collect_list(F.struct(F.col(order), "word"))).alias("parts"), F.first("of").alias("label"))
+    joined = F.array_join(F.transform("parts", lambda p: F.replace(p["word"], F.lit("##"), F.lit(""))), "")
+    return words.select(group, normal_word(joined).alias("word"), F.coalesce("label", F.lit("")).alias("label")).where(F.length("word") >= 2).distinct()

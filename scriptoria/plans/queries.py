@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
+from ..functions import naming as G
 from ..operators import chunks as H
 from ..operators import entities as E
+from ..operators import packing as L
 from ..operators import reading as D
 from ..operators import report as R
 from ..operators import splitting as P
 from ..operators import summaries as M
 from ..operators import windows as N
+from ..sources import archive as A
 from ..sources import books as B
 from ..sources import sinks as K
 from ..streaming import events as S
@@ -499,3 +502,67 @@ def clean_semantic(spark, sf_dir):
 def export_summaries(spark, sf_dir):
     rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("topic_hint"), F.col("text").alias("summary"))
     return K.joined_summaries(rows, "conv_id", "turn").select("conv_id", "text")
+
+
+@query()
+def pack_lines(spark, sf_dir):
+    return L.pack_lines(_t(spark, sf_dir, "documents"))
+
+
+_DRAW = "CAST('0x' || substr(md5(doc_id || '|{}'), 1, 8) AS BIGINT)"
+_PASSAGES = f"""WITH n AS (SELECT doc_id, text, length(text) AS n, CAST(floor(length(text) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS lo, CAST(floor(length(text) * CAST(0.8 AS DOUBLE)) AS BIGINT) - 1200 AS hi FROM documents WHERE length(text) >= 600),
+s AS (SELECT doc_id, text, CASE WHEN lo >= hi THEN greatest(0, n // 2 - 600) ELSE lo + {_DRAW.format('p1')} % (hi - lo + 1) END AS start FROM n), c AS (SELECT doc_id, start, substr(text, start + 1, 1200) AS cut FROM s)
+SELECT doc_id, start, CASE WHEN regexp_matches(cut, '(?s) .* ') THEN regexp_replace(regexp_extract(cut, '(?s)^[^ ]* (.*) [^ ]*$', 1), '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g') ELSE cut END AS passage FROM c"""
+
+
+@query(_PASSAGES)
+def sample_passages(spark, sf_dir):
+    return L.sample_passages(_t(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_DRAW.format('r1')}, doc_id) AS n FROM documents) WHERE n <= 10")
+def sample_rows(spark, sf_dir):
+    """Ten documents of each source (a sampling operator)."""
+    return L.sample_rows(_t(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 10)
+
+
+@query("""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(trim(regexp_replace(replace(n, '_', ' '), '\\.txt|\\.json', '', 'g'), ' '), '\\pL+|[^\\pL]+'), lambda r: upper(r[1:1]) || lower(r[2:])), '') AS name,
+regexp_replace(source || ':' || lang || '.v1', '[^\\pL\\pN\\pM_\\-]', '_', 'g') AS file FROM (SELECT *, regexp_replace(md5(CAST(doc_id AS VARCHAR)) || '_' || source || '_l''' || lang || '.json', '^[0-9a-f]{6,}_', '') AS n FROM documents)""")
+def book_names(spark, sf_dir):
+    file = F.concat(F.md5(F.col("doc_id").cast("string")), F.lit("_"), "source", F.lit("_l'"), "lang", F.lit(".json"))
+    return _t(spark, sf_dir, "documents").select("doc_id", G.book_name(file).alias("name"), G.file_safe(F.concat("source", F.lit(":"), "lang", F.lit(".v1"))).alias("file"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN i = 1 THEN 'INIZIALE' WHEN i = n THEN 'FINALE' ELSE 'CENTRALE' END AS position FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)")
+def part_positions(spark, sf_dir):
+    w = Window.partitionBy("conv_id")
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", G.position(F.row_number().over(w.orderBy("turn")), F.count(F.lit(1)).over(w)).alias("position"))
+
+
+@query("""SELECT source, n + m + CASE WHEN m > 4 THEN CAST(ceil(m / 4) AS BIGINT) ELSE 1 END AS steps, greatest(chars // 3, 5000) AS target FROM (SELECT source, n, chars, CASE WHEN n > 10 THEN CAST(ceil(n / 10) AS BIGINT) ELSE 0 END AS m
+FROM (SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source))""")
+def summary_plan(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    return rows.select("source", G.summary_steps(F.col("n")).alias("steps"), G.target_chars(F.col("chars"), 3, 5000).alias("target"))
+
+
+@query("SELECT event_id, regexp_extract('reply: ' || props || ' done.', '(?s)[\\[{].*[\\]}]') AS json, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def embedded_json(spark, sf_dir):
+    found = G.embedded_json(F.concat(F.lit("reply: "), "props", F.lit(" done.")))
+    return _t(spark, sf_dir, "events").select("event_id", found.alias("json")).withColumn("k", F.get_json_object("json", "$.k").cast("long"))
+
+
+@query(f"WITH {_ENT} SELECT DISTINCT doc_id, lower(word) AS word, label FROM n")
+def wordpieces_join(spark, sf_dir):
+    """Each capitalised word as pieces of two letters, joined again."""
+    words = E.extract(_t(spark, sf_dir, "documents")).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("word"), F.lit(2))))
+    pieces = words.select("doc_id", "label", F.struct("pos", "at").alias("place"), F.concat(F.when(F.col("at") > 1, "##").otherwise(""), F.substring("word", F.col("at"), F.lit(2))).alias("word"))
+    return E.join_wordpieces(pieces, "doc_id", "place")
+
+
+@query()
+def export_archives(spark, sf_dir):
+    """A ZIP archive for each document: its text, its cleaned text, and what is known of it."""
+    rows = _t(spark, sf_dir, "documents").select("doc_id", G.file_safe(F.concat(F.lit("doc "), "doc_id")).alias("root"), "text", C.strip_symbols(F.col("text")).alias("clean"), F.struct("doc_id", "lang", "source", "n_chars").alias("about"))
+    entries = A.book_entries(rows, "doc_id", "root", **{"00_originale/originale.txt": "text", "01_testo_pulito/testo_pulito.txt": "clean", "about.json": "about"})
+    return A.zip_books(entries, "doc_id")
