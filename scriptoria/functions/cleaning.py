@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -44,40 +45,37 @@ def toggle_quotes(text: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).when(i % 2 == 1, F.concat(F.lit("«"), p)).otherwise(F.concat(F.lit("»"), p))), "")
 
 
-#: The contextual rewriter's cases by what they emit; earlier ones win. "first": the match's first character; "tight": the
-#: match without its space; "token": see _TOKENS; "same": runs of letters that begin no case.
+#: The contextual rewriter's cases; earlier ones win. What the groups of "keep" cases hold stays; of the others all that they match becomes O, I, l or its token's reading.
 _CASES = (
-    ("tight", rf"(?<![{W}])[cdlmnstvCDLMNSTV] ['’]"),
-    ("first", rf"[{W}][.,;:!](?=[{W}])|(?<![A-Za-z.])M (?=at)|(?<![{W}])et(?![{W}])"),
-    ("token", r"1'(?=[aeiouAEIOU])|chh|'|(?<![A-Za-z])piu(?![A-Za-z])|insi no|Capitoloprimo|Edizionedi"),
-    ("O", rf"(?<![{W}])0(?![{W}])|(?<=[A-Z])0(?=[A-Z])"),
-    ("drop", r"-(?=\n)|(?<=[A-Za-z])0(?![A-Za-z])| (?= )"),
-    ("first", r"[0-9] (?=[0-9])"),
-    ("I", r"(?<=[A-Z])1(?=[A-Z])|(?<![A-Za-z])1(?= [A-Z])|(?<=[A-Z])1(?![A-Za-z])"),
-    ("l", r"(?<=[A-Za-z])1(?=[A-Za-z])|(?<![A-Za-z])1(?=[a-z])"),
-    ("same", r"[abdfghj-oq-zABDF-ZÀ-ÿ]+(?=[A-Za-zÀ-ÿ])"),
+    ("keep", rf"(?<![{W}])([cdlmnstvCDLMNSTV]) (['’])"),
+    ("keep", rf"([{W}])[.,;:!](?=[{W}])|(?<![A-Za-z.])(M) (?=at)|(?<![{W}])(e)t(?![{W}])"),
+    ("token", r"(1'(?=[aeiouAEIOU])|chh|'|(?<![A-Za-z])piu(?![A-Za-z])|insi no|Capitoloprimo|Edizionedi)"),
+    ("O", rf"((?<![{W}])0(?![{W}])|(?<=[A-Z])0(?=[A-Z]))"),
+    ("keep", r"-(?=\n)|(?<=[A-Za-z])0(?![A-Za-z])| (?= )"),
+    ("keep", r"([0-9]) (?=[0-9])"),
+    ("I", r"((?<=[A-Z])1(?=[A-Z])|(?<![A-Za-z])1(?= [A-Z])|(?<=[A-Z])1(?![A-Za-z]))"),
+    ("l", r"((?<=[A-Za-z])1(?=[A-Za-z])|(?<![A-Za-z])1(?=[a-z]))"),
 )
 _TOKENS = {"1'": "l'", "chh": "ch", "'": "’", "piu": "più", "insi no": "insino", "Capitoloprimo": "Capitolo primo", "Edizionedi": "Edizione di"}
+#: Noncharacters, which texts do not hold: they part the places of a token, an O, an I and an l.
+_MARKS = "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4"
 
 
 def contextual_rewrite(text: Column) -> Column:
-    """One left-to-right pass in which the first fitting case wins and context is looked up in the input."""
-    marked = ("tight", "first", "drop", "O", "I", "l")
-    regex = "(?s)" + "|".join(f"({r})" if kind in marked else r for kind, r in _CASES) + "|."
-    groups = [kind for kind, _ in _CASES if kind in marked]
-    arrays = [F.regexp_extract_all(text, F.lit(regex), F.lit(i)) for i in range(len(groups) + 1)]
-    zipped = F.arrays_zip(*arrays)
+    """One left-to-right pass in which the first fitting case wins and context is looked up in the input.
 
-    def emit(z: Column) -> Column:
-        out = z["0"]
-        for token, said in _TOKENS.items():
-            out = F.when(z["0"] == token, said).otherwise(out)
-        for i, kind in reversed(list(enumerate(groups, 1))):
-            said = {"tight": F.replace(z["0"], F.lit(" "), F.lit("")), "first": F.substring(z["0"], 1, 1), "drop": F.lit("")}.get(kind, F.lit(kind))
-            out = F.when(z[str(i)] != "", said).otherwise(out)
-        return out
+    The pass leaves, for each match, what it keeps and the five marks, with what is to be rewritten in its kind's place between them."""
+    kinds = [kind for kind, regex in _CASES for _ in range(re.compile(regex).groups)]
+    of = {kind: "".join(f"${i}" for i, k in enumerate(kinds, 1) if k == kind) for kind in ("keep", "token", "O", "I", "l")}
 
-    return toggle_quotes(F.array_join(F.transform(zipped.cast("array<struct<" + ",".join(f"`{i}`:string" for i in range(len(arrays))) + ">>"), emit), ""))
+    def left(token: str = "", o: str = "", i: str = "", l: str = "") -> str:  # noqa: E741
+        return "".join(m + part for m, part in zip(_MARKS, (token, o, i, l, ""), strict=True))
+
+    out = F.regexp_replace(text, "|".join(regex for _, regex in _CASES), of["keep"] + left(of["token"], of["O"], of["I"], of["l"]))
+    said = {left(): "", left(o="0"): "O", left(i="1"): "I", left(l="1"): "l"} | {left(token): to for token, to in _TOKENS.items()}
+    for mark, to in said.items():
+        out = F.replace(out, F.lit(mark), F.lit(to))
+    return toggle_quotes(out)
 
 
 def reconnect_drop_caps(text: Column) -> Column:
@@ -103,6 +101,10 @@ def strip_endings(text: Column) -> Column:
     return F.regexp_replace(out, f"{begin}([0-9A-Za-z'])[{K}{small}]{end}", "$1")
 
 
+#: Words of ASCII letters with a vowel, and perhaps a sign after them; never garbage.
+_PLAIN = r"^(?=[B-DF-HJ-NP-TV-Zb-df-hj-np-tv-z]*[AEIOUaeiou])[A-Za-z]++[.,;:!?]?\z"
+
+
 def drop_garbage(text: Column) -> Column:
     """Tokens that are mostly no letters, or have no vowel, go; white space stays. Lengths are in bytes."""
     tokens = F.regexp_extract_all(text, F.lit(r"[ \t\n\r\f\x0B]+|[^ \t\n\r\f\x0B]+"), F.lit(0))
@@ -118,7 +120,7 @@ def drop_garbage(text: Column) -> Column:
         mute = (letters >= 3) & (vowels == 0) & (count(t, "A-Z") < letters)
         known = F.lower(F.regexp_replace(t, f"[^{W}]", "")).isin(*ABBREVIATIONS)
         keep = F.when(short, ~t.rlike(rf"[\x00-\x7F&&[^{W}.,;:!?\"]]")).otherwise(alpha * 2 > F.octet_length(t)) & (~mute | known)
-        return F.when(t.rlike(r"^[ \t\n\r\f\x0B]") | keep, t).otherwise("")
+        return F.when(t.rlike(_PLAIN) | t.rlike(r"^[ \t\n\r\f\x0B]") | keep, t).otherwise("")
 
     return F.array_join(F.transform(tokens, cut), "")
 
