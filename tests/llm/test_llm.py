@@ -232,6 +232,19 @@ def test_unlike_branches_stand_alone(spark):
     assert got["/en/news"].purity < 0.1 < got["/fr/shop"].purity < 0.9 < got["/it/news"].purity and got["/fr/shop"].purity == got["/es/shop"].purity
 
 
+def test_url_sql_matches_exactly(spark):
+    import duckdb
+
+    rng, hosts = random.Random(9), ["a.net", "example.net", "x.org", "example.com", "plain.io", ""]
+    urls = [f"http://{rng.choice(hosts)}/{'/'.join(rng.choices(['en', 'de', 'fr', 'news', '12', 'deadbeef00', 'x' * 30, str(rng.randrange(40)), chr(97 + rng.randrange(26)) * 2], k=rng.randrange(7)))}{rng.choice(['', '?q=1', '#f'])}" for _ in range(800)]
+    pages = spark.createDataFrame([*enumerate(urls), (None, None), (7, "none")], "page_id long, url string")
+    con, names = duckdb.connect(), ["page_id", "host", "path", "rule", "verdict", "template", "purity"]
+    con.register("pages", pages.toArrow())
+    want = con.sql(f"SELECT {', '.join(names)} FROM ({queries.oracle_sql()['op9_url_filters']})").fetchall()
+    got = [tuple(r) for r in url_filter.judge(pages).select(*names).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and any("*" in r[5] for r in got)
+
+
 # ---- 10 token files
 def test_elias_fano():
     rng = np.random.default_rng(5)
@@ -279,3 +292,57 @@ def test_pipeline(spark, docs):
         kept = after
     out = p.run(spark, SF)
     assert out.count() == kept.count() and {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def mixed_slowly(rows):
+    """Copies of (doc_id, source, text) in the mix: targets by filling up, sources ordered by hash and cut one by one."""
+    size = {r: len(byte_words(r[2])) for r in rows}
+    of = {}
+    for r in rows:
+        of[r[1]] = of.get(r[1], 0) + size[r]
+    weights = {s: i % 3 + 1 for i, s in enumerate(sorted(of, key=lambda s: (s is None, s or "")))}
+    target, open_ = {}, set(of)
+    while open_:
+        level = (sum(of.values()) - sum(target.values())) / sum(weights[s] for s in open_)
+        over = {s for s in open_ if level * weights[s] > 3 * of[s]}
+        target |= {s: 3 * of[s] for s in over} if over else {s: level * weights[s] for s in open_}
+        open_ = open_ - over if over else set()
+    out = []
+    for s in of:
+        left = round(target[s])
+        epochs, left = divmod(left, max(1, of[s]))
+        for r in sorted((r for r in rows if r[1] == s), key=lambda r: (hashlib.md5(f"{r[0]}|mix-1".encode()).hexdigest(), size[r])):
+            taken = epochs * size[r] + min(size[r], left)
+            left -= min(size[r], left)
+            out += [r] * int(taken / max(1, size[r]) + 0.5)
+    return out
+
+
+def test_pipeline_matches_brute_force(spark, docs):
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    good = [(r.doc_id, r.source, r.text) for r in p.quality(spark, docs, SF).collect()]  # learnt: its own test is held-out accuracy
+    assert 0 < len(good) < docs.count()
+    fps, root = [slow_fingerprint(t) for _, _, t in good], list(range(len(good)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(good)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 3:
+            a, b = sorted((find(i), find(j)), key=lambda k: good[k][0])
+            root[b] = a
+    kept = [d for i, d in enumerate(good) if find(i) == i]
+    assert len(kept) < len(good)
+    items = [set(decontaminate.shingles(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = [d for d in kept if not any(s and len(s & set(decontaminate.shingles(d[2]))) >= 0.8 * len(s) - 1e-9 for s in items)]
+    assert len(clean) < len(kept)
+    tok, at, want = Tokenizer.from_file(queries.tokenizer_path()), 0, []
+    for doc_id, _, text in sorted(mixed_slowly(clean), key=lambda d: d[0]):
+        ids = [*tok.encode(text, add_special_tokens=False).ids, 2]
+        want.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert [tuple(r) for r in p.run(spark, SF).orderBy("start").collect()] == want
