@@ -155,4 +155,4 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, threshold: float, words: int)
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without those that hold an item."""
     hit = cut(contained_items(docs, items, **options).select(F.col("doc_id").alias("_d")).distinct())
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_d"]), "left_anti")

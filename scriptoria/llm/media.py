@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
+
 WIDTH = 64  # samples of a row, for payloads
 TILE = (32, 32)
 
@@ -133,7 +135,8 @@ def payload(text: str | None) -> tuple[int, np.ndarray]:
 
 
 def tiles(media: DataFrame, column: str = "media", shape: tuple[int, int] = TILE) -> DataFrame:
-    """media with height, width, tile (an NPY file) and feature (the difference hash) of the image in the column."""
+    """media with height, width, tile (an NPY file) and feature (the difference hash) of the image in the column, in place of columns of these names."""
+    media = without(media, *({"height", "width", "tile", "feature"} - {column}))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,7 +5,8 @@ prefix-summed over a source's buckets and then inside each bucket. A source's bu
 is cut exactly where its prefix sum reaches it. No source meets in one task: its share of a bucket is the most.
 
 Defined cases: null text has size 0; a null source is one more source, the last; null doc_ids share a key and are
-ordered by size and text hash, as repeated rows are; an empty table gives no rows; a table of empty texts takes nothing.
+ordered by size and text hash, as repeated rows are; an empty table gives no rows; a table of empty texts takes nothing;
+columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of
+from .common import WORD, text_of, without
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
@@ -38,7 +39,8 @@ def source_targets(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] =
 
 
 def mix(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, salt: str = SALT) -> DataFrame:
-    """docs with size, source_size, target and taken (words that the mix takes, repeats counted)."""
+    """docs with size, source_size, target and taken (words that the mix takes, repeats counted), in place of columns of these names or of its working columns'."""
+    docs = without(docs, "size", "source_size", "target", "taken", "before", "epochs", "budget", "_src", "_key", "_bucket", "_tie")
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{salt}")))
     src = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     rows = docs.withColumn("size", F.regexp_count(text_of(), F.lit(WORD)).cast("long")).withColumn("_src", src).withColumn("_key", key)

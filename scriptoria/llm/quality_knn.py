@@ -11,7 +11,7 @@ does not grow. Labels, lang, source and doc_id are no features.
 
 Defined cases: null texts are empty; texts without words, and all texts if nothing is labelled, get the prior, the mean
 label of the sample (0.5 without one); several labels of one doc_id are averaged, 0.5 and more count as 1; of rows with one doc_id the
-least text is learnt from, each is scored; an empty table gives no rows.
+least text is learnt from, each is scored; an empty table gives no rows; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_words
+from .common import byte_words, without
 
 WORD_DIM, SHAPE_DIM, REPEAT_DIM = 2048, 512, 8
 DIM = WORD_DIM + SHAPE_DIM + REPEAT_DIM
@@ -109,7 +109,9 @@ def _unit(z: np.ndarray) -> np.ndarray:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """docs with held_out, score and predicted."""
+    """docs with held_out, score and predicted, in place of columns of these names."""
+    docs = without(docs, "held_out", "score", "predicted")
+    names = docs.columns
     train = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     texts = docs.select(F.col("doc_id").alias("_id"), "text")
     train = train.join(texts.select("_id").distinct(), train.doc_id == F.col("_id"), "left_semi")
@@ -138,13 +140,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep
         idf, directions, known, y, prior = held.value
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
-                z = _unit(vectors((t.as_py() for t in part.column(0)), idf) @ directions)
-                s = votes(z, known, y, prior) if len(y) else np.full(part.num_rows, prior)
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(s)], names=["_row", "score"])
+                rows = batch.column(0).slice(i, ROWS)
+                z = _unit(vectors((t.as_py() for t in rows.field(text)), idf) @ directions)
+                s = votes(z, known, y, prior) if len(y) else np.full(len(rows), prior)
+                yield pa.RecordBatch.from_arrays([rows, pa.array(s)], names=["_row", "score"])
 
-    names = docs.columns
-    packed = docs.select("text", F.struct(*[F.col(c) for c in names]).alias("_row"))
+    text = [c.lower() for c in names].index("text")
+    packed = docs.select(F.struct(*names).alias("_row"))
     schema = packed.select("_row").schema.add("score", "double")
     out = packed.mapInArrow(score, schema).select("_row.*", "score")
     return out.withColumn("held_out", held_out()).withColumn("predicted", (F.col("score") >= keep).cast("int"))

@@ -209,9 +209,9 @@ def keep_one(docs: DataFrame, budget: int = 3) -> DataFrame:
     lost = found.join(first, found.component_id.eqNullSafe(first.component_id)).where(rank != F.col("first"))
     lost = lost.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
     twice = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
-    rows = docs.withColumn("_th", F.xxhash64("text"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.struct(*docs.columns).alias("_row"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))
     rows = rows.join(lost, same, "left_anti")
     once = rows.join(twice, same, "left_anti")
     many = rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_th"])
-    return once.unionByName(many).drop("_th")
+    return once.unionByName(many).select("_row.*")

@@ -17,6 +17,9 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, "One two three four five six.\tseven", None, "a", 5), (3, "One two three four five six.\tseven", None, "a", 5), (None, "né  à\n", "fr", "b", 1), (5, "x " * 30000, "en", "b", 1), (6, "a", "en", "", 1)]
 
 
+CLASHING = ["score", "Predicted", "_row", "_id", "_h", "_th", "_d", "_key", "key", "fp", "size", "target", "taken", "before", "budget", "height", "rules", "component_id"]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
@@ -24,7 +27,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame(ODD, DOCS).withColumn("score", F.lit("mine")).withColumn("_row", F.lit(1))
+    return spark.createDataFrame(ODD, DOCS).withColumns({n: F.lit("mine") for n in CLASHING})
 
 
 # ---- 1 chat formatting
@@ -144,6 +147,8 @@ def test_contained_items_match_brute_force(spark, docs, odd):
     for bound in (10**6, 0):
         got = {(r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in decontaminate.contained_items(rows, items, max_broadcast=bound).collect()}
         assert got == want and (3, 902, 2, 2) in got
+    left = decontaminate.drop_contaminated(odd, items)
+    assert left.columns == odd.columns and {r.doc_id for r in left.collect()} == {None, 1, 2, 5}
     assert decontaminate.contained_items(rows, items.limit(0)).count() == decontaminate.contained_items(rows.limit(0), items).count() == 0
 
 
@@ -157,6 +162,7 @@ def test_mix_odd_rows(spark, odd):
         by.setdefault(r.source, [r.target, r.source_size, 0])[2] += r.taken
     assert abs(sum(t for t, _, _ in by.values()) - total) < 1 and all(abs(t - n) <= 1 and t <= 3 * s + 1e-9 for t, s, n in by.values())
     assert mixing.mix(odd.limit(0)).count() == 0
+    assert mixing.mixed_documents(odd).columns == odd.columns
     copies = mixing.mixed_documents(odd).groupBy("doc_id").count().collect()
     assert all(c["count"] <= 6 for c in copies)
 
@@ -171,9 +177,9 @@ def test_quality_held_out(spark):
 
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (3, None, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
-    got = quality_knn.score_quality(odd.drop("score"), labels).collect()
+    got = quality_knn.score_quality(odd, labels).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
-    assert all(r.score == 0.5 for r in quality_knn.score_quality(odd.drop("score"), labels.limit(0)).collect())
+    assert all(r.score == 0.5 for r in quality_knn.score_quality(odd, labels.limit(0)).collect())
 
 
 # ---- 7 LM
