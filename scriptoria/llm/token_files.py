@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 END_ID = 2
-CHUNK_IDS, BATCH_CHARS, BLOCK = 1 << 20, 1_000_000, 64
+CHUNK_IDS, BATCH_CHARS, BLOCK = 1 << 20, 250_000, 64
 
 
 class EliasFano:
@@ -78,7 +78,7 @@ _SPACE = "\\t-\\r \\x85\\xa0"
 #: How byte-level BPE divides a text before merging; no merge crosses a piece.
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 UNSURE = re.compile(r"[^\x00-\u024f\u2010-\u2027]")
-KNOWN_PIECES, RUN_PIECES = 600_000, 1024
+KNOWN_PIECES, RUN_PIECES = 300_000, 1024
 
 
 class Coder:
