@@ -190,23 +190,29 @@ def _join_run(key: np.ndarray, values: np.ndarray, budget: int) -> np.ndarray:
     return root
 
 
-def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
-    """doc_id, text_hash, fp, component_id for every row; component_id: the least doc_id that links reach."""
+def rooted_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
+    """doc_id, text_hash, fp, root, component_id for every row; root: the least fingerprint that links reach, one for each component."""
     fps = cut(fingerprints(docs))
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     stars = star_components(fingerprint_links(groups.select("fp"), budget))
     rooted = groups.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
+    """doc_id, text_hash, fp, component_id for every row; component_id: the least doc_id that links reach."""
+    return rooted_duplicates(docs, budget).drop("root")
 
 
 def keep_one(docs: DataFrame, budget: int = 3) -> DataFrame:
-    """docs without those whose group has another of smaller (doc_id, text hash), nulls last; of rows equal in both one stays."""
-    found = cut(near_duplicates(docs, budget))
+    """docs without those whose group has another of smaller (doc_id, text hash), nulls last; of rows equal in both one stays.
+
+    A group is told by its root: a doc_id may be null or stand in several groups."""
+    found = cut(rooted_duplicates(docs, budget).select("doc_id", "text_hash", "root"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("h"))
-    # a group of nothing but null ids is told by the least fingerprint hash through its rows' own component: null
-    first = found.groupBy("component_id").agg(F.min(rank).alias("first"))
-    lost = found.join(first, found.component_id.eqNullSafe(first.component_id)).where(rank != F.col("first"))
+    first = found.groupBy("root").agg(F.min(rank).alias("first"))
+    lost = found.join(first, "root").where(rank != F.col("first"))
     lost = lost.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
     twice = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.struct(*docs.columns).alias("_row"))

@@ -134,6 +134,14 @@ def test_dedup_of_odd_rows(spark, odd):
     assert simhash_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_dedup_of_shared_ids(spark):
+    """Unlike texts under null ids or one id all stay; copies of each still fall."""
+    texts = [f"{w} " * 3 + " ".join(f"{w}{i}" for i in range(40)) for w in "abcdefgh"]
+    rows = [(None if i < 4 else 9, t) for i, t in enumerate(texts)]
+    kept = simhash_dedup.keep_one(spark.createDataFrame([*rows, *rows, (9, texts[0])], "doc_id long, text string")).collect()
+    assert sorted((r.text, r.doc_id or 0) for r in kept) == [(t, 9 if i in (0, 4, 5, 6, 7) else 0) for i, t in enumerate(texts)]
+
+
 # ---- 4 decontamination
 def test_contained_items_match_brute_force(spark, docs, odd):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(spark.createDataFrame([(900, None), (901, "a"), (902, "One two three four five six.")], "item_id long, text string"))
