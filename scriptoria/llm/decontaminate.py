@@ -26,8 +26,8 @@ from .common import byte_words, cut
 WORDS, THRESHOLD = 5, 0.8
 #: Shingles of all items up to which they are broadcast; beyond it sketches are joined by a shuffle.
 MAX_BROADCAST_SHINGLES = 500_000
-PAIRS = "doc_id long, item_id long, n_item_shingles long, n_shared long"
-_PAIRS = ["doc_id", "item_id", "n_item_shingles", "n_shared"]
+PAIRS = "doc_id long, text_hash long, item_id long, n_item_shingles long, n_shared long"
+_PAIRS = ["doc_id", "text_hash", "item_id", "n_item_shingles", "n_shared"]
 
 
 def shingles(text: str | None, words: int = WORDS) -> list[bytes]:
@@ -65,7 +65,7 @@ def sketch(parts: set[bytes], threshold: float) -> np.ndarray:
 
 
 def _pairs(rows: Iterable[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 4
+    cols = list(zip(*rows, strict=True)) or [[]] * len(_PAIRS)
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=_PAIRS)
 
 
@@ -73,7 +73,14 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     """doc_id, item_id, n_item_shingles, n_shared, containment of every pair with containment >= threshold.
 
     docs: doc_id, text. items: item_id, text."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    found = _found(docs, items, threshold, words, max_broadcast)
+    found = found.groupBy("doc_id", "item_id").agg(F.max("n_item_shingles").alias("n_item_shingles"), F.max("n_shared").alias("n_shared"))
+    return found.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
+
+
+def _found(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, max_broadcast: int = MAX_BROADCAST_SHINGLES) -> DataFrame:
+    """PAIRS of every row and item with containment >= threshold; text_hash tells rows of one doc_id apart."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     items = items.select(F.col("item_id").cast("long"), "text").distinct()
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +88,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
             yield pa.RecordBatch.from_arrays([pa.array([len(shingles(t.as_py(), words)) for t in batch.column(1)], pa.int64())], names=["n"])
 
     total = items.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-    found = _by_broadcast(docs, items, threshold, words) if total <= max_broadcast else _by_shuffle(docs, items, threshold, words)
-    found = found.groupBy("doc_id", "item_id").agg(F.max("n_item_shingles").alias("n_item_shingles"), F.max("n_shared").alias("n_shared"))
-    return found.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
+    return _by_broadcast(docs, items, threshold, words) if total <= max_broadcast else _by_shuffle(docs, items, threshold, words)
 
 
 def _by_broadcast(docs: DataFrame, items: DataFrame, threshold: float, words: int) -> DataFrame:
@@ -104,7 +109,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, threshold: float, words: in
         maybe[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, text, text_hash in zip(*batch.columns, strict=True):
                 parts = shingles(text.as_py(), words)
                 h = hashes(parts)
                 h = h[maybe[(h & np.uint64(0xFFFF)).astype(np.int64)]]
@@ -115,7 +120,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, threshold: float, words: in
                     for i in sorted(near):
                         shared = len(sets[i] & own)
                         if shared >= least_shared(len(sets[i]), threshold):
-                            out.append((doc_id.as_py(), ids[i], len(sets[i]), shared))
+                            out.append((doc_id.as_py(), text_hash.as_py(), ids[i], len(sets[i]), shared))
             yield _pairs(out)
 
     return docs.mapInArrow(run, PAIRS)
@@ -137,22 +142,23 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, threshold: float, words: int)
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, item_id, text, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text_hash, item_id, text, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parts = set(shingles(item, words))
                 shared = len(parts & set(shingles(text, words)))
                 if shared >= least_shared(len(parts), threshold):
-                    out.append((doc_id, item_id, len(parts), shared))
+                    out.append((doc_id, text_hash, item_id, len(parts), shared))
             yield _pairs(out)
 
     sketches = items.mapInArrow(explode(True), "key long, h long").select(F.col("key").alias("item_id"), "h")
-    probes = docs.mapInArrow(explode(False), "key long, h long").select(F.col("key").alias("doc_id"), "h")
-    near = cut(probes.join(sketches, "h").select(F.col("doc_id").alias("_d"), F.col("item_id").alias("_i")).distinct())
+    probes = docs.select("text_hash", "text").mapInArrow(explode(False), "key long, h long").select("key", "h")
+    near = cut(probes.join(sketches, "h").select(F.col("key").alias("_t"), F.col("item_id").alias("_i")).distinct())
     texts = items.withColumnRenamed("text", "item")
-    both = near.join(docs, F.col("_d").eqNullSafe(F.col("doc_id"))).join(texts, F.col("_i").eqNullSafe(F.col("item_id")))
-    return both.select("doc_id", "item_id", "text", "item").mapInArrow(verify, PAIRS)
+    both = near.join(docs, F.col("_t") == F.col("text_hash")).join(texts, F.col("_i").eqNullSafe(F.col("item_id")))
+    return both.select("doc_id", "text_hash", "item_id", "text", "item").mapInArrow(verify, PAIRS)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without those that hold an item."""
-    hit = cut(contained_items(docs, items, **options).select(F.col("doc_id").alias("_d")).distinct())
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_d"]), "left_anti")
+    """docs without the rows whose text holds an item; other texts under the same doc_id, or null, stay."""
+    hit = cut(_found(docs, items, **options).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct())
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.struct(*docs.columns).alias("_row"))
+    return rows.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left_anti").select("_row.*")

@@ -160,6 +160,14 @@ def test_contained_items_match_brute_force(spark, docs, odd):
     assert decontaminate.contained_items(rows, items.limit(0)).count() == decontaminate.contained_items(rows.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_clean_texts_under_a_dirty_id_stay(spark, bound):
+    item = "one two three four five six seven eight"
+    rows = [(None, f"so {item} it"), (None, "a clean text of its own words"), (None, None), (4, item), (4, item), (4, "and another clean text with this id")]
+    left = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"), max_broadcast=bound)
+    assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, [rows[1], rows[2], rows[5]]))
+
+
 # ---- 5 mixing
 def test_mix_odd_rows(spark, odd):
     rows = mixing.mix(odd).collect()
