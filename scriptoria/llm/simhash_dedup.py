@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_words, cut
 from .components import star_components
+from .near_copies import linked_texts
 
 BITS, BLOCK, SPLIT = 64, 16, 6
 HOT = 20_000
@@ -190,26 +191,24 @@ def _join_run(key: np.ndarray, values: np.ndarray, budget: int) -> np.ndarray:
     return root
 
 
-def rooted_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
-    """doc_id, text_hash, fp, root, component_id for every row; root: the least fingerprint that links reach, one for each component."""
+def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
+    """doc_id, text_hash, fp, component_id for every row; component_id: the least doc_id that links reach."""
     fps = cut(fingerprints(docs))
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     stars = star_components(fingerprint_links(groups.select("fp"), budget))
     rooted = groups.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
-    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
-
-
-def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
-    """doc_id, text_hash, fp, component_id for every row; component_id: the least doc_id that links reach."""
-    return rooted_duplicates(docs, budget).drop("root")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, budget: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame) -> DataFrame:
     """docs without those whose group has another of smaller (doc_id, text hash), nulls last; of rows equal in both one stays.
 
-    A group is told by its root: a doc_id may be null or stand in several groups."""
-    found = cut(rooted_duplicates(docs, budget).select("doc_id", "text_hash", "root"))
+    Groups are texts linked at a Jaccard similarity of 0.8 or more of five-word shingles (near_copies), told by their root's text
+    hash: a doc_id may be null or stand in several groups."""
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"))
+    found = cut(rows.join(linked_texts(texts), F.col("text_hash") == F.col("u"), "left").select("doc_id", "text_hash", F.coalesce("v", "text_hash").alias("root")))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("h"))
     first = found.groupBy("root").agg(F.min(rank).alias("first"))
     lost = found.join(first, "root").where(rank != F.col("first"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptoria.llm import chat_format as cf
-from scriptoria.llm import class_lm, components, decontaminate, media, mixing, quality_knn, queries, secret_scan, simhash_dedup, token_files, url_filter
+from scriptoria.llm import class_lm, components, decontaminate, media, mixing, near_copies, quality_knn, queries, secret_scan, simhash_dedup, token_files, url_filter
 from scriptoria.llm.common import byte_words
 
 SF = "/root/testdata/sf0.001"
@@ -142,6 +142,28 @@ def test_dedup_of_shared_ids(spark):
     assert sorted((r.text, r.doc_id or 0) for r in kept) == [(t, 9 if i in (0, 4, 5, 6, 7) else 0) for i, t in enumerate(texts)]
 
 
+def test_near_copies_match_brute_force(spark):
+    """Links at a Jaccard similarity of 0.8, with a passage that many unlike texts hold, chains of copies, and short texts."""
+    rng, texts = random.Random(3), ["", None, "a b", "a  B", "a b c d e f"]
+    passage = " ".join(f"p{i}" for i in range(30))
+    for k in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([12, 60, 150]))] + passage.split() * (k % 2)
+        for _ in range(rng.choice([1, 1, 6])):
+            texts.append(" ".join(words))
+            words = list(words)
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+    sets = [near_copies.shingle_set(t) for t in texts]
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (n := len({*sets[i].tolist()} & {*sets[j].tolist()})) * 9 >= 4 * (len(sets[i]) + len(sets[j])) and n]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    assert any((simhash_dedup.fingerprint(texts[i]) ^ simhash_dedup.fingerprint(texts[j])).bit_count() > 3 for i, j in near)  # what three bits lose
+    kept = simhash_dedup.keep_one(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root))
+
+
 # ---- 4 decontamination
 def test_contained_items_match_brute_force(spark, docs, odd):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(spark.createDataFrame([(900, None), (901, "a"), (902, "One two three four five six.")], "item_id long, text string"))
