@@ -452,6 +452,18 @@ def fuzzy_candidates(spark, sf_dir):
     return a.join(b, "doc_id").where((F.col("a") < F.col("b")) & E.fuzzy_match(F.col("a"), F.col("b"))).select("doc_id", "a", "b")
 
 
+@query("""WITH t AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}'))) AS w FROM documents))
+SELECT a.doc_id, a.w AS a, b.w AS b FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.w < b.w AND (contains(b.w, a.w) OR contains(a.w, b.w))""")
+def fuzzy_pairs(spark, sf_dir):
+    """Pairs that match loosely among all words of each document; words meet by the substrings of the longer one."""
+    words = E.extract(_t(spark, sf_dir, "documents")).select("doc_id", E.normal_word(F.col("word")).alias("w")).distinct()
+    starts = F.sequence(F.lit(1), F.length("w") - 2)
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(3), F.length("w") - i + 1), lambda n: F.substring("w", i, n))))
+    inner = words.select("doc_id", F.col("w").alias("long"), F.explode(F.array_distinct(parts)).alias("short"))
+    pairs = inner.join(words.withColumnRenamed("w", "short"), ["doc_id", "short"]).where("short <> long")
+    return pairs.select("doc_id", F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b"))
+
+
 _SHARED = "b AS (SELECT a.conv_id, a.turn, count(DISTINCT p.w) FILTER (WHERE list_contains(a.keys, p.w)) AS shared FROM k a JOIN (SELECT conv_id, turn, unnest(keys) AS w FROM k) p ON p.conv_id = a.conv_id AND p.turn BETWEEN a.turn - 4 AND a.turn - 1 GROUP BY a.conv_id, a.turn)"
 
 

@@ -166,3 +166,12 @@ def test_exports(spark):
 def test_clean_span(spark):
     got = spark.createDataFrame([(" .Anna  Bolena. ",), ("-",), ("«x»",)], "w string").select(E.clean_span(F.col("w")).alias("w")).collect()
     assert [r.w for r in got] == ["Anna Bolena", "", "«x»"]
+
+
+def test_fuzzy_pairs_take_all_words(spark, tmp_path):
+    """A pair of words beyond the five most frequent ones is found."""
+    from scriptoria.plans import queries as Q
+
+    spark.createDataFrame([(1, "Uno Uno Due Due Tre Tre Nove Nove Otto Otto Anna Annalisa Lisa"), (2, "Anna"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in Q.fuzzy_pairs(spark, str(tmp_path)).collect()}
+    assert got == {(1, "anna", "annalisa"), (1, "annalisa", "lisa")}
