@@ -239,11 +239,82 @@ def test_lm_base_matches_brute_force(spark, docs, odd, monkeypatch):
     assert class_lm.score_texts(rows.limit(0)).count() == 0
 
 
-def test_exchange_raises_likelihood():
+def slow_lm(texts, held, model):
+    """score of each text: class bigrams, given which class each word has, counted and smoothed in plain Python."""
+    import xxhash
+
+    own = {int(h): int(model.of[i]) for i, h in enumerate(model.keys)}
+    k = model.classes + class_lm.FORMS + 1
+    count, pairs, size = {}, {}, {}
+
+    def classes(words):
+        h = [xxhash.xxh64_intdigest(w) for w in words]
+        return [own.get(x - (1 << 64) if x >> 63 else x, model.classes + class_lm._form(w)) for x, w in zip(h, words, strict=True)]
+
+    coded = [(byte_words(t), classes(byte_words(t))) for t in texts]
+    for (words, kinds), out in zip(coded, held, strict=True):
+        if not out:
+            for w, c in zip(words, kinds, strict=True):
+                size.setdefault(c, {}).setdefault(w, 0)
+                size[c][w] += 1
+                count[w] = count.get(w, 0) + 1
+            for p, q in itertools.pairwise([k - 1, *kinds, k - 1]):
+                pairs[p, q] = pairs.get((p, q), 0) + 1
+    after = {p: sum(n for (a, _), n in pairs.items() if a == p) for p in range(k)}
+    room = [sum(size.get(c, {}).values()) + class_lm.ADD_WORD * (len(size.get(c, {})) + 1) for c in range(k)]
+    out = []
+    for words, kinds in coded:
+        moves = sum(np.log10((pairs.get(x, 0) + class_lm.ADD_CLASS) / (after[x[0]] + class_lm.ADD_CLASS * k)) for x in itertools.pairwise([k - 1, *kinds, k - 1]))
+        out.append(moves + sum(np.log10((count.get(w, 0) + class_lm.ADD_WORD) / room[c]) for w, c in zip(words, kinds, strict=True)))
+    return out
+
+
+@pytest.mark.parametrize("slice_bytes", [2_000_000, 300])
+def test_lm_score_matches_brute_force(spark, docs, odd, monkeypatch, slice_bytes):
+    """Given the classes; with texts in one piece, and divided into many."""
+    models, learn = [], class_lm.learn_classes
+    monkeypatch.setattr(class_lm, "learn_classes", lambda *a: models.append(learn(*a)) or models[-1])
+    monkeypatch.setattr(class_lm, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(class_lm, "FREQUENT", 5000)
+    rows = docs.limit(60).unionByName(odd.select(docs.columns))
+    got = class_lm.score_texts(rows).collect()
+    every = [(r.doc_id, r.text) for r in rows.collect()]
+    want = slow_lm([t for _, t in every], [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in every], models[0])
+    assert len(models[0].keys) > 100 and len({*models[0].of[: len(models[0].keys)].tolist()}) > 8
+    near = lambda rows: sorted((d or 0, round(x, 6)) for d, x in rows)
+    assert near((r.doc_id, r.score) for r in got) == near((d, x) for (d, _), x in zip(every, want, strict=True))
+    assert all(abs(r.perplexity - 10 ** (-r.score / r.n_tokens)) < 1e-6 * r.perplexity for r in got)
+
+
+def test_exchange_raises_likelihood(spark, docs, monkeypatch):
     rng = np.random.default_rng(1)
     n = rng.poisson(np.where(np.add.outer(np.arange(12) % 2, np.arange(12) % 2) == 1, 40, 2))
     of = class_lm.exchange_clusters(n, top=10, classes=2)
     assert len({*of[0:10:2]}) == len({*of[1:10:2]}) == 1 and of[0] != of[1]
+    models, learn = [], class_lm.learn_classes
+    monkeypatch.setattr(class_lm, "learn_classes", lambda *a: models.append(learn(*a)) or models[-1])
+    class_lm.score_texts(docs)
+    m = models[0]
+    assert len(m.keys) > class_lm.TOP and (m.of[: len(m.keys)] < m.classes).all()  # every frequent word has an exchanged class
+    assert len(m.grown) > 2 and m.grown == sorted(m.grown)
+    class_of = np.concatenate([m.of[: len(m.keys)], m.of[len(m.keys) :]])
+    assert abs(class_lm.likelihood(m.pairs) - m.grown[-1]) < 1e-3 and len(class_of) == len(m.keys) + class_lm.FORMS + 1
+
+
+def test_best_classes_match_a_loop():
+    rng = np.random.default_rng(4)
+    pairs, classes = rng.integers(20, 90, (9, 9)), 6
+    x, y, current = rng.integers(0, 3, (30, 9)), rng.integers(0, 3, (30, 9)), rng.integers(0, 8, 30)
+    best, gain = class_lm.best_classes(x, y, current, pairs, classes)
+    for i in range(30):
+        value = []
+        for c in range(classes):
+            row, col = pairs[c].astype(float), pairs[:, c].astype(float)
+            if current[i] == c:
+                row, col = row - x[i], col - y[i]
+            p, q = ((v + class_lm.ADD_CLASS) / (v.sum() + class_lm.ADD_CLASS * 9) for v in (row, col))
+            value.append((x[i] * np.log(p)).sum() + (y[i] * np.log(q)).sum())
+        assert best[i] == np.argmax(value) and (current[i] >= classes or abs(gain[i] - (max(value) - value[current[i]])) < 1e-6)
 
 
 # ---- 8 media
