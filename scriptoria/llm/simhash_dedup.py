@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import byte_words, cut
 from .components import star_components
-from .near_copies import linked_texts
 
 BITS, BLOCK, SPLIT = 64, 16, 6
 HOT = 20_000
@@ -199,24 +198,3 @@ def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
     rooted = groups.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without those whose group has another of smaller (doc_id, text hash), nulls last; of rows equal in both one stays.
-
-    Groups are texts linked at a Jaccard similarity of 0.8 or more of five-word shingles (near_copies), told by their root's text
-    hash: a doc_id may be null or stand in several groups."""
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"))
-    found = cut(rows.join(linked_texts(texts), F.col("text_hash") == F.col("u"), "left").select("doc_id", "text_hash", F.coalesce("v", "text_hash").alias("root")))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("h"))
-    first = found.groupBy("root").agg(F.min(rank).alias("first"))
-    lost = found.join(first, "root").where(rank != F.col("first"))
-    lost = lost.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
-    twice = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.struct(*docs.columns).alias("_row"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))
-    rows = rows.join(lost, same, "left_anti")
-    once = rows.join(twice, same, "left_anti")
-    many = rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_th"])
-    return once.unionByName(many).select("_row.*")

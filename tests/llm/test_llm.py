@@ -129,7 +129,7 @@ def test_links_match_brute_force(spark, hot):
 def test_dedup_of_odd_rows(spark, odd):
     got = simhash_dedup.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.fp == 0} == {1}
-    kept = simhash_dedup.keep_one(odd).collect()
+    kept = near_copies.keep_one(odd).collect()
     assert sorted((r.doc_id or 0) for r in kept) == sorted({0, 1, 3, 5, 6}) and kept[0].score == "mine"
     assert simhash_dedup.near_duplicates(odd.limit(0)).count() == 0
 
@@ -138,7 +138,7 @@ def test_dedup_of_shared_ids(spark):
     """Unlike texts under null ids or one id all stay; copies of each still fall."""
     texts = [f"{w} " * 3 + " ".join(f"{w}{i}" for i in range(40)) for w in "abcdefgh"]
     rows = [(None if i < 4 else 9, t) for i, t in enumerate(texts)]
-    kept = simhash_dedup.keep_one(spark.createDataFrame([*rows, *rows, (9, texts[0])], "doc_id long, text string")).collect()
+    kept = near_copies.keep_one(spark.createDataFrame([*rows, *rows, (9, texts[0])], "doc_id long, text string")).collect()
     assert sorted((r.text, r.doc_id or 0) for r in kept) == [(t, 9 if i in (0, 4, 5, 6, 7) else 0) for i, t in enumerate(texts)]
 
 
@@ -160,7 +160,7 @@ def test_near_copies_match_brute_force(spark):
         for i, j in near:
             root[i] = root[j] = min(root[i], root[j])
     assert any((simhash_dedup.fingerprint(texts[i]) ^ simhash_dedup.fingerprint(texts[j])).bit_count() > 3 for i, j in near)  # what three bits lose
-    kept = simhash_dedup.keep_one(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    kept = near_copies.keep_one(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(root))
 
 
@@ -439,15 +439,15 @@ def test_pipeline_matches_brute_force(spark, docs):
 
     good = [(r.doc_id, r.source, r.text) for r in p.quality(spark, docs, SF).collect()]  # learnt: its own test is held-out accuracy
     assert 0 < len(good) < docs.count()
-    fps, root = [slow_fingerprint(t) for _, _, t in good], list(range(len(good)))
+    sets, root = [{*decontaminate.shingles(t)} for _, _, t in good], list(range(len(good)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i, j in itertools.combinations(range(len(good)), 2):
-        if (fps[i] ^ fps[j]).bit_count() <= 3:
+    for i, j in itertools.combinations(range(len(good)), 2):  # five words, a Jaccard similarity of 0.8
+        if len(sets[i] & sets[j]) * 9 >= 4 * (len(sets[i]) + len(sets[j])):
             a, b = sorted((find(i), find(j)), key=lambda k: good[k][0])
             root[b] = a
     kept = [d for i, d in enumerate(good) if find(i) == i]
