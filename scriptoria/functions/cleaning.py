@@ -160,3 +160,8 @@ def strip_markdown(text: Column) -> Column:
     for regex, to in ((r"(?m)^#{1,6}\s+", ""), (r"\*{1,3}([^*]+)\*{1,3}", "$1"), (r"_{1,3}([^_]+)_{1,3}", "$1"), (r"(?m)^\s*[-*•►]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), (r"(?m)^[-*_]{3,}\s*$", ""), (r"\n{3,}", "\n\n")):
         text = F.regexp_replace(text, regex, to)
     return F.regexp_replace(text, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
+
+
+def fallback(cleaned: Column, raw: Column) -> Column:
+    """The cleaned text, or the raw one where cleaning failed."""
+    return F.coalesce(cleaned, raw)

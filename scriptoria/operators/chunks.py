@@ -29,10 +29,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def embedding_boundaries(vectors: DataFrame, group: list[str], order: str, threshold: float = 0.35) -> DataFrame:
-    """vectors with sim (cosine to the one before), boundary and section (its number in the group)."""
+    """vectors with sim (cosine to the one before), boundary and section (its number in the group); fewer than three vectors have no boundary."""
     w = Window.partitionBy(*group).orderBy(order)
-    rows = vectors.withColumn("sim", cosine(F.lag("embedding").over(w), F.col("embedding")))
-    rows = rows.withColumn("boundary", F.coalesce(F.col("sim") < threshold, F.lit(False)))
+    rows = vectors.withColumn("sim", cosine(F.lag("embedding").over(w), F.col("embedding"))).withColumn("_of", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+    rows = rows.withColumn("boundary", F.coalesce(F.col("sim") < threshold, F.lit(False)) & (F.col("_of") >= 3)).drop("_of")
     return rows.withColumn("section", F.sum(F.col("boundary").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -59,6 +59,11 @@ def chapters(rows: DataFrame, group: list[str], order: str, keys: str) -> DataFr
     return numbered(sections, "section", "chapter", 3, 2).withColumn("chapter", F.col("chapter") + 1).drop("shared", "boundary")
 
 
+def boundary_union(*lists: Column) -> Column:
+    """Lists of boundaries as one, sorted, each once."""
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*lists))))
+
+
 def islands(rows: DataFrame, group: list[str], order: str, value: Column) -> DataFrame:
     """rows with island: the number of the run of equal values."""
     w = Window.partitionBy(*group).orderBy(order)
@@ -84,8 +89,8 @@ def fixed_batches(rows: DataFrame, group: list[str], order: str, k: int) -> Data
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1) / k))
 
 
-#: Headings of chapters; with case ignored, Roman numerals match Italian words too, as they are meant to.
-HEADING = r"(?i)\b(CAPITOLO|CAPO|CAP\.|LIBRO|PARTE)\s+([IVXLCDM]+|[0-9]+)"
+#: Fixed value: headings of chapters; with case ignored, Roman numerals match a few Italian words too, as they are meant to.
+HEADING = r"(?iU)\b(CAPITOLO|CAPO|CAP\.|LIBRO|PARTE)\s+([IVXLCDM]+|\d+)\b"
 
 
 def is_heading(text: Column) -> Column:
@@ -103,7 +108,7 @@ def base_topic(hint: Column) -> Column:
 
 def pseudo_paragraphs(docs: DataFrame, target: int = 500) -> DataFrame:
     """doc_id, idx, text: sentences joined by one space until they reach target characters."""
-    sentences = F.filter(F.transform(F.split("text", r"(?<=[.!?])[\s\n]+"), lambda s: F.trim(s)), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split("text", r"(?<=[.!?])[\s\n]+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
     empty = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
 
     def step(acc: Column, s: Column) -> Column:

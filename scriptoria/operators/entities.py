@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,20 +14,41 @@ LABELS = ("PER", "LOC", "ORG", "WORK", "DATE", "EVENT", "TIT", "REL", "FANT")
 DATE = r"(?i)^(\d{3,4}|\d{1,2}\s+[a-zà-ù]+\s+\d{3,4}|[ivxlcdm]{1,7})$"
 STOP = r"(?i)^(il|lo|la|i|gli|le|un|uno|una|di|de|del|dello|della|dei|degli|delle|e|o|a|da|in|su|con|per|tra|fra|l|d)$"
 SCORE, SURE_DATE, SURE_FANT = 0.65, 0.85, 0.75
+NAME = r"[A-Z][a-z]{2,}"  # what stands in for a model's spans
 
 
 def extract(docs: DataFrame) -> DataFrame:
     """doc_id, pos, word, label of capitalised words, by rules that stand in for a model: PER by length, else LOC."""
-    words = F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,}"), F.lit(0))
+    words = F.regexp_extract_all("text", F.lit(NAME), F.lit(0))
     rows = docs.select("doc_id", F.posexplode(words).alias("pos", "word"))
     return rows.withColumn("label", F.when(F.length("word") % 2 == 0, "PER").otherwise("LOC"))
 
 
+def extract_spans(docs: DataFrame) -> DataFrame:
+    """extract() with start and end, in characters of the text."""
+    name = re.compile(NAME)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                found = [(row, *m.span(), m[0], pos) for row, text in enumerate(part.column(1).to_pylist()) for pos, m in enumerate(name.finditer(text or ""))]
+                row, start, end, word, pos = zip(*found, strict=True) if found else ([], [], [], [], [])
+                label = ["LOC" if len(w) % 2 else "PER" for w in word]
+                kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, k) for x, k in zip((pos, word, label, start, end), kinds, strict=True))], names=["doc_id", "pos", "word", "label", "start", "end"])
+
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(run, rows.select("doc_id").schema.add("pos", "integer").add("word", "string").add("label", "string").add("start", "integer").add("end", "integer"))
+
+
 def normal_label(label: Column) -> Column:
     return F.upper(F.replace(F.replace(label, F.lit("B-"), F.lit("")), F.lit("I-"), F.lit("")))
 
 
 def is_valid(label: Column, word: Column, score: Column) -> Column:
+    """Whether a span, cleaned first, may stand."""
+    word = clean_span(word)
     letters = F.length(F.regexp_replace(word, r"[^\p{L}]", "")) / F.greatest(F.length(word), F.lit(1))
     date = label == "DATE"
     return (
@@ -33,6 +58,24 @@ def is_valid(label: Column, word: Column, score: Column) -> Column:
     )
 
 
+def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of rows of one key the first; all keys in the order in which they come first."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def word_counts(spans: DataFrame) -> DataFrame:
+    """word (trimmed), n, label: that of the word's first span, by doc_id and pos."""
+    return spans.groupBy(F.trim("word").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.min_by("label", F.struct("doc_id", "pos")).alias("label"))
+
+
+def valid_gold(samples: DataFrame, json: str, least: int = 50) -> DataFrame:
+    """samples with the label and text of their JSON, of known labels and texts of least characters or more."""
+    read = samples.withColumn("_s", F.from_json(json, "label string, text string"))
+    read = read.withColumn("label", F.col("_s.label")).withColumn("text", F.col("_s.text")).drop("_s")
+    return read.where(F.col("label").isin(*LABELS) & (F.length("text") >= least))
+
+
 def last_wins(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     return spans.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
@@ -57,6 +100,36 @@ def contained(chunks: DataFrame, spans: DataFrame, key: str, width: int = 2000)
     return left.join(right, [key, "_block"]).where("start >= char_start AND end <= char_end").drop("_block")
 
 
+def entity_counts(chunks: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """key, char_start, num_entities of every chunk; 0 for those without entities."""
+    inside = contained(chunks.select(key, "char_start", "char_end"), spans, key).groupBy(key, "char_start").agg(F.count(F.lit(1)).alias("_n"))
+    return chunks.select(key, "char_start").join(inside, [key, "char_start"], "left").select(key, "char_start", F.coalesce("_n", F.lit(0)).alias("num_entities"))
+
+
+def retention_keys(entities: Column) -> Column:
+    """Distinct names, in lower case, of an array of entities (label, word): people and places of three characters or more, sorted."""
+    some = F.filter(entities, lambda e: e["label"].isin("PER", "LOC"))
+    words = F.transform(some, lambda e: F.lower(F.trim(F.replace(e["word"], F.lit("##"), F.lit("")))))
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3)))
+
+
+def retention_report(entities: Column, summary: Column) -> Column:
+    """retention_percent (100 without names), total_key_entities, survived, lost: which names of entities (label, word) occur in the lower-cased summary."""
+    keys = retention_keys(entities)
+    survived = F.filter(keys, lambda k: F.contains(F.lower(summary), k))
+    percent = F.when(F.size(keys) == 0, 100.0).otherwise(F.round(F.size(survived) * 100.0 / F.greatest(F.size(keys), F.lit(1)), 1))
+    return F.struct(percent.alias("retention_percent"), F.size(keys).cast("long").alias("total_key_entities"), survived.alias("survived"), F.array_except(keys, survived).alias("lost"))
+
+
+def retention_global(words: DataFrame, summaries: DataFrame, key: str) -> DataFrame:
+    """key, total_unique_entities, found_in_global, retention_percent: names of a whole book (key, word, label) that its summary (key, summary) has."""
+    word = F.lower(F.trim(F.replace("word", F.lit("##"), F.lit(""))))
+    names = words.where(F.col("label").isin("PER", "LOC")).select(key, word.alias("word")).where(F.length("word") >= 3).distinct()
+    held = names.join(summaries.select(key, F.lower("summary").alias("summary")), key, "left")
+    found = held.groupBy(key).agg(F.count(F.lit(1)).alias("total_unique_entities"), F.count_if(F.contains(F.coalesce("summary", F.lit("")), F.col("word"))).alias("found_in_global"))
+    return found.withColumn("retention_percent", F.round(F.col("found_in_global") * 100.0 / F.col("total_unique_entities"), 1))
+
+
 def retention(keys: Column, summary: Column, none: float = 100.0) -> Column:
     """Per cent of distinct keys that occur, anywhere, in the lower-cased summary."""
     distinct = F.array_distinct(F.transform(keys, lambda k: F.lower(k)))

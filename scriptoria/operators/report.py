@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +54,110 @@ def adjacent_similarity(chunks: DataFrame) -> DataFrame:
     return pairs.select("doc_id", "idx", F.round(F.coalesce(F.when(scale > 0, F.col("dot") / scale), F.lit(0.0)), 4).alias("sim"))
 
 
+_WORD = re.compile(r"[^\W]+")
+_LATIN = re.compile(r"[a-zà-ÿ]{3,}")
+Weights = list[dict[str, float]]
+
+
+def line_weights(text: str | None, least: int = 1) -> tuple[list[str], Weights, Weights]:
+    """A text's lines that are not blank, and of each its words' tf and tf * ln(N / df); nothing if there are fewer than least lines."""
+    lines = [x for x in (text or "").split("\n") if x.strip(" ")]
+    if len(lines) < least:
+        return [], [], []
+    counts = [Counter(w for w in _WORD.findall(x.lower()) if _LATIN.fullmatch(w) and w not in STOPWORDS) for x in lines]
+    df = Counter(w for c in counts for w in c)
+    tf = [{w: n / c.total() for w, n in c.items()} for c in counts]
+    return lines, tf, [{w: v * math.log(len(lines) / df[w]) for w, v in t.items() if df[w] < len(lines)} for t in tf]
+
+
+def weights_cosine(a: dict[str, float], b: dict[str, float]) -> float:
+    """Of two sparse vectors; 0 without common words."""
+    dot = sum(v * b[w] for w, v in a.items() if w in b)
+    scale = math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values()))
+    return round(dot / scale, 4) if scale else 0.0
+
+
+def _per_text(docs: DataFrame, rows: Callable[[str | None], list[tuple]], schema: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """doc_id and the rows that each text yields: a text is one row, so nothing is shuffled."""
+    some = docs.select("doc_id", "text")
+    out = some.select("doc_id").schema
+    for name, kind, _ in schema:
+        out = out.add(name, kind)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(1)):
+                if found := rows(text.as_py()):
+                    cols = [pa.array(c, k) for c, (_, _, k) in zip(zip(*found, strict=True), schema, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(found), pa.int64())), *cols], names=["doc_id", *(n for n, _, _ in schema)])
+
+    return some.mapInArrow(run, out)
+
+
+def text_weights(docs: DataFrame, idf: bool) -> DataFrame:
+    """doc_id, idx (the line's number), word and tf or, with idf, w of every line of docs (doc_id, text), without a shuffle."""
+
+    def rows(text: str | None) -> list[tuple]:
+        places = [i for i, x in enumerate((text or "").split("\n")) if x.strip(" ")]
+        _, tf, w = line_weights(text)
+        return [(i, word, v) for i, weights in zip(places, w if idf else tf, strict=True) for word, v in weights.items()]
+
+    return _per_text(docs, rows, [("idx", "integer", pa.int32()), ("word", "string", pa.string()), ("w" if idf else "tf", "double", pa.float64())])
+
+
+def text_similarity(docs: DataFrame) -> DataFrame:
+    """doc_id, idx (from 1), sim: the cosine of each line's weights with the next one's, of texts of three lines or more, without a shuffle."""
+
+    def rows(text: str | None) -> list[tuple]:
+        _, _, w = line_weights(text, 3)
+        return [(i + 1, weights_cosine(a, b)) for i, (a, b) in enumerate(zip(w, w[1:], strict=False))]
+
+    return _per_text(docs, rows, [("idx", "integer", pa.int32()), ("sim", "double", pa.float64())])
+
+
+def coherence_pairs(docs: DataFrame, sections: Callable[[list[str]], list[int]], most: int = 20) -> DataFrame:
+    """doc_id, kind, chunk_a, chunk_b, similarity. Chunks are the lines, numbered from 1; sections gives each its section's number.
+
+    Neighbours are intra (of one section) or boundary pairs; cross pairs are the first chunk of each section and of the first one that
+    is further on by max(3, a third of the sections), most a text. Texts of fewer than three lines have none."""
+
+    def rows(text: str | None) -> list[tuple]:
+        lines, _, w = line_weights(text, 3)
+        number = sections(lines)
+        out = [("intra" if number[i] == number[i + 1] else "boundary", i + 1, i + 2, weights_cosine(w[i], w[i + 1])) for i in range(len(w) - 1)]
+        first: dict[int, int] = {}
+        for i, s in enumerate(number):
+            first.setdefault(s, i)
+        known = sorted(first)
+        gap, far = max(3, len(known) // 3), 0
+        cross = []
+        for s in known:
+            while far < len(known) and known[far] - s < gap:
+                far += 1
+            if far == len(known) or len(cross) == most:
+                break
+            a, b = first[s], first[known[far]]
+            cross.append(("cross", a + 1, b + 1, weights_cosine(w[a], w[b])))
+        return out + cross
+
+    return _per_text(docs, rows, [("kind", "string", pa.string()), ("chunk_a", "long", pa.int64()), ("chunk_b", "long", pa.int64()), ("similarity", "double", pa.float64())])
+
+
+def coherence_report(pairs: DataFrame, key: str, digits: int = 4) -> DataFrame:
+    """key; of intra, boundary and cross pairs the average similarity (null without any) and number; delta: intra less boundary."""
+    kinds = ("intra", "boundary", "cross")
+    mean = [F.round(F.avg(F.when(F.col("kind") == k, F.col("similarity"))), digits).alias(f"avg_{k}") for k in kinds]
+    some = pairs.groupBy(key).agg(*mean, *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds])
+    return some.withColumn("delta", F.round(F.col("avg_intra") - F.col("avg_boundary"), digits))
+
+
+def section_starts(rows: DataFrame, group: list[str], order: str, section: str) -> DataFrame:
+    """The rows at which a section's number differs from that of the row before; rows without a number are passed over."""
+    w = Window.partitionBy(*group).orderBy(order)
+    known = rows.where(F.col(section).isNotNull()).withColumn("_p", F.lag(section).over(w))
+    return known.where(~F.col("_p").eqNullSafe(F.col(section))).drop("_p")
+
+
 def nearest(left: DataFrame, right: DataFrame, group: str, at: str, other: str, tolerance: int) -> DataFrame:
     """left with the right position nearest to it in its group (ties: the earlier), its distance, and whether it is a match.
 
@@ -67,12 +177,17 @@ def section_representatives(rows: DataFrame, group: str, section: str, order: st
 
 
 def cross_pairs(rows: DataFrame, group: str, section: str, order: str, most: int = 20) -> DataFrame:
-    """group, a, b: each section with the first later one that is at least max(3, a third of all sections) further on; the first most of each group."""
+    """group, a, b: each section with the first later one whose number is larger by max(3, a third of all sections) or more; the first most of each group.
+
+    One sort of sections and of the numbers they look for: the wanted one is the first section at or after that number."""
     reps = section_representatives(rows, group, section, order)
-    w = Window.partitionBy(group).orderBy(section)
-    reps = reps.withColumn("nth", F.row_number().over(w)).withColumn("gap", F.greatest(F.lit(3), F.floor(F.count(F.lit(1)).over(Window.partitionBy(group)) / 3)))
-    later = reps.select(group, F.col(section).alias("b"), F.col("nth").alias("nth"))
-    pairs = reps.select(group, F.col(section).alias("a"), (F.col("nth") + F.col("gap")).alias("nth")).join(later, [group, "nth"])
+    gap = F.greatest(F.lit(3), F.floor(F.count(F.lit(1)).over(Window.partitionBy(group)) / 3))
+    reps = reps.select(group, F.col(section).alias("s"), gap.alias("gap"))
+    none = F.lit(None).cast(reps.schema["s"].dataType)
+    both = reps.select(group, (F.col("s") + F.col("gap")).alias("k"), F.col("s").alias("a"), none.alias("b"), F.lit(0).alias("rep"))
+    both = both.unionByName(reps.select(group, F.col("s").alias("k"), none.alias("a"), F.col("s").alias("b"), F.lit(1).alias("rep")))
+    onward = Window.partitionBy(group).orderBy("k", "rep").rowsBetween(0, Window.unboundedFollowing)
+    pairs = both.withColumn("b", F.first("b", ignorenulls=True).over(onward)).where("rep = 0 AND b IS NOT NULL").select(group, "a", "b")
     return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy("a"))).where(F.col("_n") <= most).select(group, "a", "b")
 
 
@@ -86,7 +201,7 @@ def boundary_scores(gold: DataFrame, local: DataFrame, tolerance: int) -> DataFr
 
 
 def label_scores(rows: DataFrame, label: str, predicted: Column, gold: Column) -> DataFrame:
-    """tp, fp, fn, precision, recall, f1 per label and, with label null, over all."""
-    some = rows.rollup(label).agg(*[F.sum(c.cast("long")).alias(n) for n, c in (("tp", predicted & gold), ("fp", predicted & ~gold), ("fn", ~predicted & gold))])
+    """tp, fp, fn, precision, recall, f1 per label and, where is_total (with label null), over all."""
+    some = rows.rollup(label).agg((F.grouping(label) == 1).alias("is_total"), *[F.sum(c.cast("long")).alias(n) for n, c in (("tp", predicted & gold), ("fp", predicted & ~gold), ("fn", ~predicted & gold))])
     ratio = lambda a, b: F.round(F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)), 4)
-    return some.select(label, "tp", "fp", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+    return some.select(label, "is_total", "tp", "fp", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))

@@ -1,4 +1,4 @@
-"""Hierarchical summaries: sections to batches to books. The summariser is a column function; the default takes a text's lead."""
+"""Hierarchical summaries: sections to batches to books. The summariser is a column function; the default takes a text's longest line."""
 
 from __future__ import annotations
 
@@ -11,12 +11,18 @@ MACRO_THRESHOLD, MACRO_BATCH, GLOBAL_BATCH = 10, 10, 4
 Summariser = Callable[[Column], Column]
 
 
-def lead(text: Column, chars: int = 300) -> Column:
-    """A deterministic stand-in for a model."""
-    return F.substring(text, 1, chars)
+def gist(text: Column, chars: int = 300) -> Column:
+    """A deterministic stand-in for a model, which reads the whole text: its longest line, of equal ones the first, up to chars characters."""
+    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct((-F.length(line)).alias("n"), i.alias("i"), line.alias("line")))
+    return F.substring(F.array_min(lines)["line"], 1, chars)
 
 
-def sections(chunks: DataFrame, group: str, section: str, order: str, summarise: Summariser = lead) -> DataFrame:
+def entity_string(words: Column) -> Column:
+    """Words, sorted, as one string; a fixed phrase without any."""
+    return F.coalesce(F.nullif(F.array_join(F.array_sort(words), ", "), F.lit("")), F.lit("Nessuna entità specifica"))
+
+
+def sections(chunks: DataFrame, group: str, section: str, order: str, summarise: Summariser = gist) -> DataFrame:
     """group, section, num_chunks, total_chars, summary: a section's chunks in order, joined by one space, summarised."""
     held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("text").alias("t"))))
     rows = chunks.groupBy(group, section).agg(F.count(F.lit(1)).alias("num_chunks"), F.sum(F.length("text")).alias("total_chars"), held.alias("held"))
@@ -33,7 +39,7 @@ def _reduce(rows: DataFrame, group: str, least: int, k: int, summarise: Summaris
     return some.select(group, F.col("batch").alias("at"), F.when(F.col("many"), summarise(F.col("joined"))).otherwise(F.col("joined")).alias("summary"))
 
 
-def books(section_rows: DataFrame, group: str, section: str, summarise: Summariser = lead) -> DataFrame:
+def books(section_rows: DataFrame, group: str, section: str, summarise: Summariser = gist) -> DataFrame:
     """group, parts, global_summary: macro batches of ten if there are more than ten, partial ones of four if more than four, then the whole."""
     macro = _reduce(section_rows.select(group, F.col(section).alias("at"), "summary"), group, MACRO_THRESHOLD, MACRO_BATCH, summarise)
     partial = _reduce(macro, group, GLOBAL_BATCH, GLOBAL_BATCH, summarise)

@@ -124,6 +124,8 @@ def strip_markdown(spark, sf_dir):
     return _map(spark, sf_dir, C.strip_markdown)
 
 
+#: The summaries' stand-in: the longest line, of equal ones the first, up to 300 characters.
+_GIST = "substr(list_sort(list_transform(string_split(text, chr(10)), lambda l, i: {'n': -length(l), 'i': i, 'l': l}))[1].l, 1, 300)"
 _LINES = "c AS (SELECT doc_id, unnest(range(len(l))) AS idx, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), k AS (SELECT * FROM c WHERE trim(text) <> '')"
 _STOP = ", ".join(f"'{w}'" for w in R.STOPWORDS)
 _TERMS = "w AS (SELECT doc_id, idx, word FROM (SELECT doc_id, idx, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+')) AS word FROM %s) WHERE regexp_full_match(word, '[a-zà-ÿ]{3,}') AND word NOT IN (" + _STOP + "))"
@@ -132,7 +134,7 @@ _TF = "tf AS (SELECT doc_id, idx, word, count(*) / sum(count(*)) OVER (PARTITION
 
 @query(f"WITH {_LINES}, {_TERMS % 'k'}, {_TF} SELECT * FROM tf")
 def tf(spark, sf_dir):
-    return R.term_frequency(H.line_chunks(_t(spark, sf_dir, "documents")))
+    return R.text_weights(_t(spark, sf_dir, "documents"), idf=False)
 
 
 _IDF = "n AS (SELECT doc_id, count(*) AS n FROM %s GROUP BY doc_id), f AS (SELECT doc_id, word, count(*) AS df FROM tf GROUP BY doc_id, word), v AS (SELECT doc_id, idx, word, tf * ln(n / df) AS w FROM tf JOIN f USING (doc_id, word) JOIN n USING (doc_id) WHERE df < n)"
@@ -140,7 +142,7 @@ _IDF = "n AS (SELECT doc_id, count(*) AS n FROM %s GROUP BY doc_id), f AS (SELEC
 
 @query(f"WITH {_LINES}, {_TERMS % 'k'}, {_TF}, {_IDF % 'k'} SELECT * FROM v")
 def tfidf(spark, sf_dir):
-    return R.tfidf(H.line_chunks(_t(spark, sf_dir, "documents")))
+    return R.text_weights(_t(spark, sf_dir, "documents"), idf=True)
 
 
 _SIM = f"""WITH {_LINES}, r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS idx, count(*) OVER (PARTITION BY doc_id) AS of_, text FROM k), r3 AS (SELECT * FROM r WHERE of_ >= 3),
@@ -151,12 +153,12 @@ s AS (SELECT r3.doc_id, r3.idx, round(coalesce(dot / nullif(m.norm * x.norm, 0),
 
 @query(f"{_SIM} SELECT * FROM s")
 def adjacent_similarity(spark, sf_dir):
-    return R.adjacent_similarity(H.line_chunks(_t(spark, sf_dir, "documents")))
+    return R.text_similarity(_t(spark, sf_dir, "documents"))
 
 
 @query(f"{_SIM} SELECT doc_id, count(*) AS pairs, round(avg(sim), 3) AS avg_sim, max(sim) AS max_sim FROM s GROUP BY doc_id")
 def similarity_profile(spark, sf_dir):
-    sims = R.adjacent_similarity(H.line_chunks(_t(spark, sf_dir, "documents")))
+    sims = R.text_similarity(_t(spark, sf_dir, "documents"))
     return sims.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("sim"), 3).alias("avg_sim"), F.max("sim").alias("max_sim"))
 
 
@@ -165,7 +167,7 @@ def windows_sliding(spark, sf_dir):
     return H.sliding_windows(_t(spark, sf_dir, "documents"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '(?i)\\b(CAPITOLO|CAPO|CAP\\.|LIBRO|PARTE)\\s+([IVXLCDM]+|[0-9]+)') AS heading FROM documents")
+@query("SELECT doc_id, regexp_matches(text, '(?i)(^|[^\\pL\\pN_])(CAPITOLO|CAPO|CAP\\.|LIBRO|PARTE)\\s+([IVXLCDM]+|[0-9]+)($|[^\\pL\\pN_])') AS heading FROM documents")
 def explicit_headings(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", H.is_heading(F.col("text")).alias("heading"))
 
@@ -197,9 +199,9 @@ def entities_label_counts(spark, sf_dir):
     return E.extract(_t(spark, sf_dir, "documents")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_ENT} SELECT word, count(*) AS n, min(label) AS label FROM n GROUP BY word ORDER BY n DESC, word LIMIT 15")
+@query(f"WITH {_ENT} SELECT word, count(*) AS n, arg_min(label, {{'d': doc_id, 'p': pos}}) AS label FROM n GROUP BY word ORDER BY n DESC, word LIMIT 15")
 def entities_top15(spark, sf_dir):
-    return E.extract(_t(spark, sf_dir, "documents")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("label")).orderBy(F.desc("n"), "word").limit(15)
+    return E.word_counts(E.extract(_t(spark, sf_dir, "documents"))).orderBy(F.desc("n"), "word").limit(15)
 
 
 @query(f"WITH {_ENT} SELECT * FROM n WHERE label = 'PER' AND contains(lower(word), 'an')")
@@ -218,26 +220,33 @@ def entities_dedup_last(spark, sf_dir):
     return E.last_wins(E.extract(_t(spark, sf_dir, "documents")), ["doc_id", "word", "label"], "pos").select("doc_id", "word", "label", "pos")
 
 
-@query(f"""WITH {_ENT}, s AS (SELECT doc_id, label, pos * 7 AS start, pos * 7 + length(word) AS stop, (pos % 10) / 10 AS score FROM n),
+_SPANS = """hits AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS word, unnest(g[1:len(x)]) AS gap FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{2,}') AS x, string_split_regex(text, '[A-Z][a-z]{2,}') AS g FROM documents)),
+n AS (SELECT doc_id, pos, word, CASE WHEN length(word) % 2 = 0 THEN 'PER' ELSE 'LOC' END AS label, CAST(sum(length(gap) + length(word)) OVER w - length(word) AS INT) AS start, CAST(sum(length(gap) + length(word)) OVER w AS INT) AS stop FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"""
+
+
+@query(f'WITH {_SPANS} SELECT doc_id, pos, word, label, start, stop AS "end" FROM n')
+def entities_spans(spark, sf_dir):
+    return E.extract_spans(_t(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH {_SPANS}, s AS (SELECT doc_id, label, start, stop, (pos % 10) / 10 AS score FROM n),
 r AS (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER w THEN 1 ELSE 0 END AS c FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY start, stop, label)),
 g AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY start, stop, label) AS st FROM r),
 h AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY doc_id, st ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS nw FROM g),
 i AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY start, stop, label) AS sp FROM h)
 SELECT doc_id, label, min(start) AS start, max(stop) AS "end", max(score) AS score FROM i GROUP BY doc_id, sp, label""")
 def entities_merge_spans(spark, sf_dir):
-    rows = E.extract(_t(spark, sf_dir, "documents"))
-    spans = rows.select("doc_id", "label", (F.col("pos") * 7).alias("start"), (F.col("pos") * 7 + F.length("word")).alias("end"), (F.col("pos") % 10 / 10).alias("score"))
+    spans = E.extract_spans(_t(spark, sf_dir, "documents")).select("doc_id", "label", "start", "end", (F.col("pos") % 10 / 10).alias("score"))
     return E.merge_spans(spans, "doc_id")
 
 
-@query(f"""WITH {_ENT}, s AS (SELECT doc_id, pos, pos * 9 AS start, pos * 9 + length(word) AS stop FROM n),
+@query(f"""WITH {_SPANS},
 c AS (SELECT doc_id, s AS char_start, least(s + 2000, length(text)) AS char_end FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(0, ceil((length(text) - 2000) / 1700)) AS BIGINT) * 1700 + 1, 1700)) AS s FROM documents WHERE length(text) > 0))
-SELECT doc_id, char_start, count(*) AS n FROM c JOIN s USING (doc_id) WHERE start >= char_start AND stop <= char_end GROUP BY doc_id, char_start""")
+SELECT c.doc_id, char_start, count(n.doc_id) AS num_entities FROM c LEFT JOIN n ON n.doc_id = c.doc_id AND start >= char_start AND stop <= char_end GROUP BY c.doc_id, char_start""")
 def chunk_entity_containment(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
-    spans = E.extract(docs).select("doc_id", (F.col("pos") * 9).alias("start"), (F.col("pos") * 9 + F.length("word")).alias("end"))
     windows = H.sliding_windows(docs).select("doc_id", F.col("start").alias("char_start"), F.col("end").alias("char_end"))
-    return E.contained(windows, spans, "doc_id").groupBy("doc_id", "char_start").agg(F.count(F.lit(1)).alias("n"))
+    return E.entity_counts(windows, E.extract_spans(docs), "doc_id")
 
 
 _KEYS = "k AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{2,}')) AS keys FROM conversations)"
@@ -265,10 +274,10 @@ def macro_batches(spark, sf_dir):
     return H.fixed_batches(_t(spark, sf_dir, "documents"), ["source"], "doc_id", 10).groupBy("source", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("SELECT doc_id, CASE WHEN len(k) = 0 THEN 100.0 ELSE round(len(list_filter(k, lambda x: contains(lower(s), x))) * 100.0 / len(k), 1) END AS retention FROM (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Z][a-z]{2,}'), lambda x: lower(x))) AS k, substr(text, 1, 300) AS s FROM documents)")
+@query("SELECT doc_id, CASE WHEN len(k) = 0 THEN 100.0 ELSE round(len(list_filter(k, lambda x: contains(lower(s), x))) * 100.0 / len(k), 1) END AS retention FROM (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Z][a-z]{2,}'), lambda x: lower(x))) AS k, " + _GIST + " AS s FROM documents)")
 def retention_section(spark, sf_dir):
     keys = F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,}"), F.lit(0))
-    return _t(spark, sf_dir, "documents").select("doc_id", E.retention(keys, F.substring("text", 1, 300)).alias("retention"))
+    return _t(spark, sf_dir, "documents").select("doc_id", E.retention(keys, M.gist(F.col("text"))).alias("retention"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -281,6 +290,7 @@ def latest_version(spark, sf_dir):
     return B.latest(_t(spark, sf_dir, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
+#: Boundaries of two reference texts, as judged and as found.
 _EMBED_GOLD = (0, 4, 13, 72, 115, 166, 218)
 _EMBED_LOCAL = (0, 2, 12, 13, 17, 20, 21, 72, 115, 124, 162, 166, 199, 200, 218, 237)
 _NER_GOLD = (0, 5, 8, 10, 19, 27, 32, 33, 39, 44, 46, 48)
@@ -309,8 +319,8 @@ def boundary_prf_ner(spark, sf_dir):
     return _prf(spark, _NER_GOLD, _NER_LOCAL, 1)
 
 
-@query("""WITH c AS (SELECT source, sum(CAST(n_chars > 1000 AND quality = 1 AS INT)) AS tp, sum(CAST(n_chars > 1000 AND quality <> 1 AS INT)) AS fp, sum(CAST(n_chars <= 1000 AND quality = 1 AS INT)) AS fn FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (source))
-SELECT source, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1 FROM c""")
+@query("""WITH c AS (SELECT source, grouping(source) = 1 AS is_total, sum(CAST(n_chars > 1000 AND quality = 1 AS INT)) AS tp, sum(CAST(n_chars > 1000 AND quality <> 1 AS INT)) AS fp, sum(CAST(n_chars <= 1000 AND quality = 1 AS INT)) AS fn FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (source))
+SELECT source, is_total, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1 FROM c""")
 def label_prf_rollup(spark, sf_dir):
     rows = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
     return R.label_scores(rows, "source", F.col("n_chars") > 1000, F.col("quality") == 1)
@@ -396,36 +406,37 @@ def size_split(spark, sf_dir):
     return P.size_split(_t(spark, sf_dir, "documents"))
 
 
-@query("SELECT conv_id, role, count(*) AS num_chunks, CAST(sum(length(text)) AS BIGINT) AS total_chars, substr(string_agg(text, ' ' ORDER BY turn), 1, 300) AS summary FROM conversations GROUP BY conv_id, role")
+@query("SELECT conv_id, role, num_chunks, total_chars, " + _GIST + " AS summary FROM (SELECT conv_id, role, count(*) AS num_chunks, CAST(sum(length(text)) AS BIGINT) AS total_chars, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id, role)")
 def section_summaries(spark, sf_dir):
     return M.sections(_t(spark, sf_dir, "conversations"), "conv_id", "role", "turn")
 
 
-_BOOKS = """WITH s AS (SELECT source, doc_id AS pos, substr(text, 1, 300) AS s FROM documents WHERE trim(substr(text, 1, 300), ' ') <> ''), a AS (SELECT source, s, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY pos) - 1 AS i FROM s),
-b AS (SELECT source, CASE WHEN n > 10 THEN i // 10 ELSE i END AS pos, n > 10 AS many, string_agg(s, chr(10) || chr(10) ORDER BY i) AS j FROM a GROUP BY ALL), c AS (SELECT source, pos, CASE WHEN many THEN substr(j, 1, 300) ELSE j END AS s FROM b),
+_BOOKS = """WITH s AS (SELECT source, pos, s FROM (SELECT source, doc_id AS pos, <text> AS s FROM documents) WHERE trim(s, ' ') <> ''), a AS (SELECT source, s, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY pos) - 1 AS i FROM s),
+b AS (SELECT source, CASE WHEN n > 10 THEN i // 10 ELSE i END AS pos, n > 10 AS many, string_agg(s, chr(10) || chr(10) ORDER BY i) AS j FROM a GROUP BY ALL), c AS (SELECT source, pos, CASE WHEN many THEN <j> ELSE j END AS s FROM b),
 d AS (SELECT source, s, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY pos) - 1 AS i FROM c WHERE trim(s, ' ') <> ''),
-e AS (SELECT source, CASE WHEN n > 4 THEN i // 4 ELSE i END AS pos, n > 4 AS many, string_agg(s, chr(10) || chr(10) ORDER BY i) AS j FROM d GROUP BY ALL), f AS (SELECT source, pos, CASE WHEN many THEN substr(j, 1, 300) ELSE j END AS s FROM e)
-SELECT source, count(*) AS parts, string_agg(s, chr(10) || chr(10) ORDER BY pos) AS global_summary FROM f GROUP BY source"""
+e AS (SELECT source, CASE WHEN n > 4 THEN i // 4 ELSE i END AS pos, n > 4 AS many, string_agg(s, chr(10) || chr(10) ORDER BY i) AS j FROM d GROUP BY ALL), f AS (SELECT source, pos, CASE WHEN many THEN <j> ELSE j END AS s FROM e)
+SELECT source, count(*) AS parts, string_agg(s, chr(10) || chr(10) ORDER BY pos) AS global_summary FROM f GROUP BY source""".replace("<text>", _GIST).replace("<j>", _GIST.replace("text", "j"))
 
 
 @query(_BOOKS)
 def book_summaries(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").select("source", "doc_id", M.lead(F.col("text")).alias("summary"))
+    rows = _t(spark, sf_dir, "documents").select("source", "doc_id", M.gist(F.col("text")).alias("summary"))
     return M.books(rows, "source", "doc_id")
 
 
-@query("""WITH r AS (SELECT source, lang, min(n) AS at FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM (SELECT source, doc_id // 40 AS lang, doc_id FROM documents)) GROUP BY source, lang),
-q AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lang) AS nth, greatest(3, count(*) OVER (PARTITION BY source) // 3) AS gap FROM r)
-SELECT source, a, b FROM (SELECT x.source, x.lang AS a, y.lang AS b, row_number() OVER (PARTITION BY x.source ORDER BY x.lang) AS n FROM q x JOIN q y ON x.source = y.source AND y.nth = x.nth + x.gap) WHERE n <= 20""")
+@query("""WITH q AS (SELECT DISTINCT source, (doc_id // 40) * (doc_id // 40) // 7 AS s FROM documents), g AS (SELECT source, greatest(3, count(*) // 3) AS gap FROM q GROUP BY source)
+SELECT source, a, b FROM (SELECT x.source, x.s AS a, min(y.s) AS b, row_number() OVER (PARTITION BY x.source ORDER BY x.s) AS n FROM q x JOIN g ON g.source = x.source JOIN q y ON y.source = x.source AND y.s - x.s >= gap GROUP BY x.source, x.s) WHERE n <= 20""")
 def cross_pairs(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").select("source", "doc_id", F.floor(F.col("doc_id") / 40).alias("section"))
+    """Sections' numbers have gaps of their own, uneven ones."""
+    by = F.floor(F.col("doc_id") / 40)
+    rows = _t(spark, sf_dir, "documents").select("source", "doc_id", F.floor(by * by / 7).alias("section"))
     return R.cross_pairs(rows, "source", "section", "doc_id")
 
 
-@query("SELECT source, round(avg(r), 1) AS avg_retention FROM (SELECT source, CASE WHEN len(k) = 0 THEN 100.0 ELSE round(len(list_filter(k, lambda x: contains(lower(s), x))) * 100.0 / len(k), 1) END AS r FROM (SELECT source, list_distinct(list_transform(regexp_extract_all(text, '[A-Z][a-z]{2,}'), lambda x: lower(x))) AS k, substr(text, 1, 300) AS s FROM documents)) GROUP BY source")
+@query("SELECT source, round(avg(r), 1) AS avg_retention FROM (SELECT source, CASE WHEN len(k) = 0 THEN 100.0 ELSE round(len(list_filter(k, lambda x: contains(lower(s), x))) * 100.0 / len(k), 1) END AS r FROM (SELECT source, list_distinct(list_transform(regexp_extract_all(text, '[A-Z][a-z]{2,}'), lambda x: lower(x))) AS k, " + _GIST + " AS s FROM documents)) GROUP BY source")
 def retention_average(spark, sf_dir):
     keys = F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,}"), F.lit(0))
-    rows = _t(spark, sf_dir, "documents").select("source", E.retention(keys, F.substring("text", 1, 300)).alias("r"))
+    rows = _t(spark, sf_dir, "documents").select("source", E.retention(keys, M.gist(F.col("text"))).alias("r"))
     return rows.groupBy("source").agg(F.round(F.avg("r"), 1).alias("avg_retention"))
 
 

@@ -14,7 +14,9 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file_name"), "value")
     book = F.from_json("value", BOOK)
     rows = raw.select("file_name", "value", book.alias("b"), F.try_parse_json("value").isNotNull().alias("is_json"))
-    text = F.when(F.col("is_json"), F.coalesce("b.contenuto", "b.text", "b.content", F.lit(""))).otherwise(F.col("value"))
+    has = lambda k: F.array_contains(F.json_object_keys("value"), k)  # noqa: E731  a key decides by being there, even with null
+    first = F.when(has("contenuto"), F.col("b.contenuto")).when(has("text"), F.col("b.text")).when(has("content"), F.col("b.content")).otherwise("")
+    text = F.when(F.col("is_json"), first).otherwise(F.col("value"))
     return rows.select("file_name", "b.title", F.col("b.author.name").alias("author"), text.alias("text"))
 
 

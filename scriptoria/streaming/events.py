@@ -25,11 +25,16 @@ def sliding(events: DataFrame, width: str = "1 hour", slide: str = "30 minutes",
     return _windowed(events, F.window("ts", width, slide), late)
 
 
+def _watermarked(events: DataFrame, late: str) -> DataFrame:
+    """Streams get a watermark, for which their times must know a time zone: that of the session."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def _windowed(events: DataFrame, window, late: str) -> DataFrame:
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _watermarked(events, late)
     return rows.groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _watermarked(events, late)
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
