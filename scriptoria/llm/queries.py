@@ -129,6 +129,10 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 """
 
 
+#: Levels of the tree that the SQL unrolls; no path of the tables is deeper.
+_URL_LEVELS = 8
+
+
 def _urls_sql() -> str:
     u = url_filter
 
@@ -141,10 +145,10 @@ def _urls_sql() -> str:
         "r AS (SELECT page_id, regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1) AS h, regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages)",
         f"p AS (SELECT page_id, {_LOWER.replace('text', 'h')} AS host, path, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM r)",
         f"v AS (SELECT page_id, host, path, {fitting('name')} AS rule, {fitting('verdict')} AS ruled, "
-        f"list_transform(parts[1:{u.DEPTH}], lambda s: CASE WHEN regexp_matches(s, '{u.VARIABLE}') THEN '*' ELSE s END) || CASE WHEN len(parts) > {u.DEPTH} THEN ['**'] ELSE [] END AS shape FROM p)",
+        f"list_transform(parts, lambda s: CASE WHEN regexp_matches(s, '{u.VARIABLE}') THEN '*' ELSE s END) AS shape FROM p)",
         "t0 AS (SELECT host, shape, shape AS template, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (WHERE ruled = 'block') AS blocked FROM v GROUP BY host, shape)",
     ]
-    for d in range(u.DEPTH):
+    for d in range(_URL_LEVELS):
         steps += [
             f"n{d} AS (SELECT host, array_to_string(template[1:{d}], '/') AS parent, template[{d + 1}] AS child, sum(n) AS n FROM t{d} WHERE len(template) > {d} GROUP BY ALL)",
             f"w{d} AS (SELECT host, parent FROM n{d} GROUP BY host, parent HAVING count(*) >= {u.MANY} AND sum(n) < {u.RARE} * count(*))",
@@ -152,10 +156,10 @@ def _urls_sql() -> str:
             f"FROM t{d} t LEFT JOIN w{d} w ON t.host = w.host AND array_to_string(template[1:{d}], '/') = w.parent)",
         ]
     steps += [
-        f"f AS (SELECT host, shape, n, labelled, blocked, '/' || array_to_string(template, '/') AS template, array_to_string(list_transform(template, lambda s: CASE WHEN s IN ('*', '**') THEN s ELSE '+' END), '/') AS form FROM t{u.DEPTH})",
+        f"f AS (SELECT host, shape, n, labelled, blocked, '/' || array_to_string(template, '/') AS template, array_to_string(list_transform(template, lambda s: CASE WHEN s = '*' THEN s ELSE '+' END), '/') AS form FROM t{_URL_LEVELS})",
         f"k AS (SELECT host, form, template, {counted} FROM f GROUP BY host, form, template)",
         "a AS (SELECT host, form, (CAST(sum(blocked) AS BIGINT) + 1) / (CAST(sum(labelled) AS BIGINT) + 2) AS share FROM k GROUP BY host, form)",
-        f"b AS (SELECT host, template, n, labelled, blocked, CASE WHEN abs(blocked - labelled * share) > {u.APART} * sqrt(labelled * share * (1 - share)) THEN template ELSE form END AS branch FROM k JOIN a USING (host, form))",
+        f"b AS (SELECT host, template, n, labelled, blocked, CASE WHEN labelled = 0 OR abs(blocked - labelled * share) > {u.APART} * sqrt(labelled * share * (1 - share)) THEN template ELSE form END AS branch FROM k JOIN a USING (host, form))",
         "g AS (SELECT (CAST(sum(blocked) AS BIGINT) + 1) / (CAST(sum(labelled) AS BIGINT) + 2) AS rate FROM b)",
         f"m AS (SELECT host, branch, {counted} FROM b GROUP BY host, branch)",
         f"s AS (SELECT host, branch, CAST({u.SMOOTH} AS DOUBLE) + CAST({u.HALF} AS DOUBLE) * (n - labelled) AS weight, labelled, blocked FROM m)",

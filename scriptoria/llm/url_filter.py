@@ -1,13 +1,15 @@
 """URL filters on DataFrame functions alone: rules first, then a path-template tree learnt from what the rules decide.
 
 Per host, urls are counted by path template: segments that look variable (numbers, hashes, dates, long ones) become ``*``, as
-do the children of a node that has many rare ones. Urls that a rule decides are the labels. Branches of a host that have the same
-depth and wildcards in the same places are merged, unless a branch's blocked labels are more than APART standard
-deviations from what the share among all of them makes likely: such a branch stands alone. A merged template is rejected if its smoothed share of blocked labels, in which its unlabelled urls count half at the rate of
-all hosts, is at least REJECT.
-
-Defined cases: a null url, or one without ``://``, has an empty host and path, and is allowed unless a rule fits; repeated
-rows are urls like any other; null page_ids stay; an empty table gives no rows.
+do the children of a node that has many rare ones, at every depth. Urls that a rule decides are the labels. Branches of a host that have the same
+depth and wildcards in the same places are merged if both are labelled and alike: a branch whose blocked labels are more than APART standard
+deviations from what the share among all of them makes likely, and one without labels, stands alone. A template is rejected if its
+smoothed share of blocked labels, in which its unlabelled urls count half at the rate of all hosts, is at least REJECT; one without
+labels has just that rate.
+
+Defined cases: a null url, or one without ``://``, has an empty host and path, and is allowed unless a rule fits; very long urls and
+paths of any depth are whole; repeated rows are urls like any other; null page_ids stay; other columns are ignored, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut
 
-DEPTH = 4
 MANY, RARE = 8, 3.0  # children of a node; urls for each of them, below which they are variable
 SMOOTH, HALF, REJECT = 4.0, 0.5, 0.6
 APART = 2.0
@@ -59,35 +60,45 @@ def _fitting(rules: tuple[UrlRule, ...], value: str) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    shown = F.transform(F.slice(parts, 1, DEPTH), lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
-    return F.when(F.size(parts) > DEPTH, F.concat(shown, F.array(F.lit("**")))).otherwise(shown)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
 
 
 def templates(urls: DataFrame) -> DataFrame:
     """host, shape, template of the distinct shapes of urls (host, shape, label: 1 blocked, 0 allowed, null), with their counts n,
-    labelled and blocked."""
-    units = urls.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
-    units = units.withColumn("template", F.col("shape"))
-    for d in range(DEPTH):
-        parent, child = F.array_join(F.slice("template", 1, d), "/"), F.get("template", F.lit(d))
-        nodes = units.where(F.size("template") > d).groupBy("host", parent.alias("parent"), child.alias("child")).agg(F.sum("n").alias("n"))
-        wide = nodes.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("n")).where((F.col("children") >= MANY) & (F.col("n") < RARE * F.col("children"))).select("host", "parent", F.lit(True).alias("wide"))
-        units = units.withColumn("parent", parent).join(wide, ["host", "parent"], "left")
-        starred = F.transform("template", lambda s, i: F.when(i == d, F.lit("*")).otherwise(s))
-        units = units.withColumn("template", F.when(F.col("wide"), starred).otherwise(F.col("template"))).drop("parent", "wide")
-    return units
+    labelled and blocked. The tree is walked level by level to the paths' full depth; a path leaves the walk as it is once so few urls
+    lie below its node that no node further down can have MANY children."""
+    units = cut(urls.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")))
+    deepest = units.agg(F.max(F.size("shape"))).first()[0] or 0
+    walked = units.select("host", "shape", "n", F.col("shape").alias("rest"), F.array().cast("array<string>").alias("above"))
+    done = None
+    for _ in range(deepest):
+        ended = walked.where(F.size("rest") == 0)
+        walked = walked.where(F.size("rest") > 0).withColumn("child", F.col("rest")[0])
+        nodes = walked.groupBy("host", "above", "child").agg(F.sum("n").alias("n"))
+        wide = nodes.groupBy("host", "above").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("n"))
+        wide = wide.select("host", "above", ((F.col("children") >= MANY) & (F.col("n") < RARE * F.col("children"))).alias("wide"), F.col("n").alias("below"))
+        walked = walked.join(wide, ["host", "above"])
+        step = F.when(F.col("wide"), F.lit("*")).otherwise(F.col("child"))
+        walked = walked.withColumn("above", F.concat("above", F.array(step))).withColumn("rest", F.expr("slice(rest, 2, greatest(size(rest) - 1, 0))"))
+        small = F.col("below") < MANY
+        ended = ended.select("host", "shape", F.col("above").alias("template")).unionByName(walked.where(small).select("host", "shape", F.concat("above", "rest").alias("template")))
+        done = ended if done is None else done.unionByName(ended)
+        walked = cut(walked.where(~small).select("host", "shape", "n", "rest", "above"))
+        if walked.isEmpty():
+            break
+    last = walked.select("host", "shape", F.concat("above", "rest").alias("template"))
+    return units.join(last if done is None else done.unionByName(last), ["host", "shape"])
 
 
 def purities(units: DataFrame) -> DataFrame:
     """host, shape, template, branch, purity. A branch is named by its depth and its wildcards, and by its template if it stands alone."""
-    form = F.array_join(F.transform("template", lambda s: F.when(s.isin("*", "**"), s).otherwise(F.lit("+"))), "/")
+    form = F.array_join(F.transform("template", lambda s: F.when(s == "*", s).otherwise(F.lit("+"))), "/")
     units = units.withColumn("form", form).withColumn("template", F.concat(F.lit("/"), F.array_join("template", "/")))
     counted = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
     nodes = units.groupBy("host", "form", "template").agg(*counted)
     alike = nodes.groupBy("host", "form").agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("share"))
     far = F.abs(F.col("blocked") - F.col("labelled") * F.col("share")) > APART * F.sqrt(F.col("labelled") * F.col("share") * (1 - F.col("share")))
-    nodes = nodes.join(alike, ["host", "form"]).withColumn("branch", F.when(far, F.col("template")).otherwise(F.col("form")))
+    nodes = nodes.join(alike, ["host", "form"]).withColumn("branch", F.when(far | (F.col("labelled") == 0), F.col("template")).otherwise(F.col("form")))
     rate = nodes.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("rate"))
     weight = SMOOTH + HALF * (F.col("n") - F.col("labelled"))
     merged = nodes.groupBy("host", "branch").agg(*counted).join(F.broadcast(rate))  # rate: one row

@@ -343,8 +343,17 @@ def test_unlike_branches_stand_alone(spark):
     rows = [("h", ["en", "news"], 0)] * 30 + [("h", ["it", "news"], 1)] * 30 + [("h", ["fr", "shop"], 1), ("h", ["fr", "shop"], 0), ("h", ["es", "shop"], None), ("h", [], None)]
     units = url_filter.templates(spark.createDataFrame(rows, "host string, shape array<string>, label int"))
     got = {r.template: r for r in url_filter.purities(units).collect()}
-    assert {t: r.branch for t, r in got.items()} == {"/en/news": "/en/news", "/it/news": "/it/news", "/fr/shop": "+/+", "/es/shop": "+/+", "/": ""}
-    assert got["/en/news"].purity < 0.1 < got["/fr/shop"].purity < 0.9 < got["/it/news"].purity and got["/fr/shop"].purity == got["/es/shop"].purity
+    assert {t: r.branch for t, r in got.items()} == {"/en/news": "/en/news", "/it/news": "/it/news", "/fr/shop": "+/+", "/es/shop": "/es/shop", "/": "/"}  # branches without labels stand alone too, at the rate of all
+    assert got["/en/news"].purity < 0.1 < got["/fr/shop"].purity < 0.9 < got["/it/news"].purity and abs(got["/es/shop"].purity - 32 / 64) < 1e-9 and got["/"].purity == got["/es/shop"].purity
+
+
+def test_url_tree_has_full_depth(spark):
+    """Rare children below a deep node become one wildcard; deeper segments stay; an empty table gives no rows."""
+    urls = [f"http://h.io/a/b/c/d/e/x{chr(97 + i)}y/z" for i in range(12)] + ["http://h.io/a/b/c/d/e/f/g/h"] * 3
+    pages = spark.createDataFrame([*enumerate(urls)], "page_id long, url string").withColumns({n: F.lit(1) for n in ("host", "path", "rule", "verdict", "template", "n", "shape", "label")})
+    got = {r.page_id: r.template for r in url_filter.judge(pages).collect()}
+    assert {got[i] for i in range(12)} == {"/a/b/c/d/e/*/z"} and len(got) == 15 and got[14] == "/a/b/c/d/e/*/g/h"
+    assert url_filter.judge(pages.limit(0)).count() == 0
 
 
 def test_url_sql_matches_exactly(spark):
