@@ -3,7 +3,9 @@ images, written as NPY tiles, and told apart by difference hashes.
 
 decode() reads binary and plain PBM, PGM and PPM (8-bit samples) and uncompressed BMP (8-bit palette, 24 and 32 bits).
 
-Defined cases: null or undecodable media give null tiles and hashes; null text is stored as 64 zero bytes; equal media give equal
+Samples are taken as they are stored, whatever the largest that a header names; bitmaps of one bit are 0 and 255.
+
+Defined cases: null, empty or undecodable media give null tiles and hashes; a very long text is one tall image, held whole by its task; null text is stored as 64 zero bytes; equal media give equal
 values; rows are independent of each other, so repeated rows and extra columns do no harm; an empty table gives no rows.
 """
 
@@ -57,8 +59,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         at = m.end()
     width, height = fields[:2]
     most, planes = fields[2] if len(fields) > 2 else 1, 3 if kind in (3, 6) else 1
-    if not 0 < most < 256:
-        raise ValueError("samples of 8 bits only")
+    if not 0 < most < 256 or not width or not height:
+        raise ValueError("images of 8-bit samples only, and not empty")
     shape = (height, width, planes)[: 2 + (planes > 1)]
     if kind >= 4:
         raw = np.frombuffer(data, dtype=np.uint8, offset=at + 1)
@@ -68,6 +70,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         return raw[: height * width * planes].reshape(shape)
     plain = re.sub(rb"#[^\n]*", b"", data[at:])
     values = [c - 48 for c in plain if c in b"01"] if kind == 1 else list(map(int, plain.split()))
+    if max(values, default=0) > most:
+        raise ValueError("a sample above the largest")
     out = np.array(values[: height * width * planes], dtype=np.uint8).reshape(shape)
     return (1 - out) * np.uint8(255) if kind == 1 else out
 
@@ -75,8 +79,8 @@ def _netpbm(data: bytes) -> np.ndarray:
 def _bmp(data: bytes) -> np.ndarray:
     start, = struct.unpack_from("<I", data, 10)
     head, width, height, _, bits, packed = struct.unpack_from("<IiiHHI", data, 14)
-    if packed or bits not in (8, 24, 32):
-        raise ValueError("only uncompressed BMP of 8, 24 or 32 bits")
+    if packed or bits not in (8, 24, 32) or width <= 0 or not height:
+        raise ValueError("only uncompressed BMP of 8, 24 or 32 bits, and not empty")
     stride, rows = (width * bits // 8 + 3) // 4 * 4, abs(height)
     raw = np.frombuffer(data, dtype=np.uint8, count=stride * rows, offset=start).reshape(rows, stride)[:, : width * bits // 8]
     raw = raw[::-1] if height > 0 else raw

@@ -6,7 +6,8 @@ as an Elias-Fano sequence: low_bits, low (packed low bits), high (unary coded hi
 of BLOCK bytes of high, for select). A document is never divided; its boundaries take about 2 + log2(mean length) bits.
 
 Defined cases: null text is empty: the end id alone; documents are ordered by (doc_id, text), null ids first; repeated
-rows are documents like any other; an empty table gives no rows.
+rows are documents like any other; a very long text is one document, coded whole; other columns are ignored, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from .common import cut
 
 END_ID = 2
 CHUNK_IDS, BATCH_CHARS, BLOCK = 1 << 20, 1_000_000, 64
+READ_DOCS = 1024  # read at a time; a multiple of 8
 
 
 class EliasFano:
@@ -65,10 +67,17 @@ class EliasFano:
         place = int(np.flatnonzero(np.unpackbits(part, bitorder="little"))[i - int(self.samples[block])]) + block * BLOCK * 8
         return (place - i) << self.low_bits | self._low(i)
 
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits).astype(np.int64)
-        return (places - np.arange(self.n)) << self.low_bits | (low << np.arange(self.low_bits)).sum(axis=1)
+    def select_range(self, first: int, last: int) -> np.ndarray:
+        """The numbers from the first-th on, before the last-th: only their blocks of the high part, and their low bits, are read."""
+        if not 0 <= first < last <= self.n:
+            raise IndexError((first, last))
+        one, two = (int(np.searchsorted(self.samples, i, side="right")) - 1 for i in (first, last - 1))
+        part, skip = self.high[one * BLOCK : (two + 1) * BLOCK], int(self.samples[one])
+        places = np.flatnonzero(np.unpackbits(part, bitorder="little"))[first - skip : last - skip] + one * BLOCK * 8
+        begin = first * self.low_bits
+        bits = np.unpackbits(self.low[begin // 8 : (last * self.low_bits + 7) // 8], bitorder="little")[begin % 8 :][: (last - first) * self.low_bits]
+        low = (bits.reshape(last - first, self.low_bits).astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+        return (places - np.arange(first, last)) << self.low_bits | low
 
 
 #: The characters whose classes all Unicode versions share, by which texts are divided here; texts with others are coded whole.
@@ -176,7 +185,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, chun
         if held:
             yield closed()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    ordered = ordered.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")  # one id, or none, on many rows is more than one task
     return ordered.mapInArrow(run, CHUNKS)
 
 
@@ -210,13 +220,18 @@ def read_documents(chunks: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-                ends = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"]).all()
-                starts = np.concatenate([[0], ends[:-1]])
+                ef = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"])
                 ids = np.frombuffer(row["ids"], dtype=f"<u{row['id_bytes']}")
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
-                null = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), bitorder="little", count=row["n_docs"]).astype(bool)
-                doc_ids = pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=null)
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts + row["base"]), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                known, nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["nulls"], np.uint8)
+                before = 0
+                for i in range(0, ef.n, READ_DOCS):
+                    j = min(ef.n, i + READ_DOCS)
+                    ends = ef.select_range(i, j)
+                    starts = np.concatenate([[before], ends[:-1]])
+                    before = int(ends[-1])
+                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
+                    null = np.unpackbits(nulls[i // 8 : (j + 7) // 8], bitorder="little", count=j - i).astype(bool)
+                    yield pa.RecordBatch.from_arrays([pa.array(known[i:j], mask=null), pa.array(starts + row["base"]), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return chunks.join(starts, ["shard", "chunk"]).mapInArrow(run, READ)
 

@@ -331,6 +331,42 @@ def test_media_round_trips(spark, odd):
     assert tiles[0].width == 7 and tiles[1].feature is None and tiles[2].tile is None
 
 
+def test_broken_media_are_null(spark):
+    bad = [b"P2 1 1 255 300", b"P5\n0 0\n255\n", b"P5\n2 2\n255\n\0", b"P6", b"BM", media.encode_bmp(np.zeros((1, 1), np.uint8))[:60], b""]
+    got = media.tiles(spark.createDataFrame([(x,) for x in bad], "media binary").withColumn("tile", F.lit(1))).collect()
+    assert len(got) == len(bad) and all(r.tile is None and r.feature is None and r.width is None for r in got)
+
+
+def test_media_digests_match_brute_force(spark, docs, odd):
+    """Every column of the query, from plain loops over the texts."""
+    rows = docs.limit(30).unionByName(odd.select(docs.columns))
+
+    def mean(image, y0, y1, x0, x1):
+        """Mean of a box of fractional corners, cell by cell."""
+        total = 0.0
+        for y in range(int(y0), min(len(image), int(np.ceil(y1 - 1e-12)))):
+            for x in range(int(x0), min(len(image[0]), int(np.ceil(x1 - 1e-12)))):
+                total += image[y][x] * (min(y + 1, y1) - max(y, y0)) * (min(x + 1, x1) - max(x, x0))
+        return total / ((y1 - y0) * (x1 - x0))
+
+    want = []
+    for r in rows.collect():
+        raw = (r.text or "").encode()
+        padded = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        stored = b"P5\n64 %d\n255\n" % (len(padded) // 64) + padded
+        feature = None
+        if len(padded) <= 64 * 12:  # the loop is slow
+            image = [list(padded[i : i + 64]) for i in range(0, len(padded), 64)]
+            h = len(image) / 8
+            bits = [[round(mean(image, y * h, (y + 1) * h, x * 64 / 9, (x + 1) * 64 / 9), 6) > round(mean(image, y * h, (y + 1) * h, (x + 1) * 64 / 9, (x + 2) * 64 / 9), 6) for x in range(8)] for y in range(8)]
+            feature = "".join(f"{int(''.join('1' if b else '0' for b in row), 2):02x}" for row in bits)
+        want.append((r.doc_id or 0, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
+    got = [(r.doc_id or 0, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in media.media_digests(media.text_media(rows)).collect()]
+    assert sorted(x[:7] for x in got) == sorted(x[:7] for x in want)
+    small = {x[:7]: x[7] for x in want if x[7]}
+    assert len(small) > 3 and all(x[7] == small[x[:7]] for x in got if x[:7] in small)
+
+
 # ---- 9 URLs
 def test_urls(spark):
     urls = ["http://A.Example.net/en/1", "https://x.net/a", "https://example.com/de/1?q", "http://a.org/fr/x#y", "http://notnet/a", "x://net", "x://net/?", None, "no scheme", "http://badexample.com/de/1", "http://e.org/" + "a/" * 5000]
@@ -376,7 +412,9 @@ def test_elias_fano():
         v = np.array(values)
         ef = token_files.EliasFano.encode(v, int(v[-1]))
         back = token_files.EliasFano(len(v), ef.low_bits, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes())
-        assert (back.all() == v).all() and [back.select(i) for i in range(0, len(v), 7)] == list(v[::7])
+        assert (back.select_range(0, len(v)) == v).all() and [back.select(i) for i in range(0, len(v), 7)] == list(v[::7])
+        for a in range(0, len(v), 97):
+            assert (back.select_range(a, min(len(v), a + 50)) == v[a : a + 50]).all()
 
 
 def test_pieces_code_as_whole_texts():
