@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
+from ..operators import builders as B
 from ..operators import chunks as H
 from ..operators import entities as E
 from ..operators import report as R
@@ -186,3 +187,11 @@ count(*) FILTER (WHERE kind = 'intra') AS n_intra, count(*) FILTER (WHERE kind =
 def coherence_report(spark, sf_dir):
     """One row for each book: average similarity within, across and far from section borders, and how sharp the borders are."""
     return R.coherence_report(_profile(spark, sf_dir), "doc_id", 3)
+
+
+@query()
+def base_chunks(spark, sf_dir):
+    """Texts divided at shifts of entities, with the entities that each chunk holds."""
+    docs = _t(spark, sf_dir, "documents")
+    rows = B.base_chunks(docs, E.extract_spans(docs))
+    return rows.select("doc_id", "chunk_id", "text", "char_start", "char_end", "topic_hint", "num_entities", F.array_join("keys", ",").alias("keys"), "total_chunks")

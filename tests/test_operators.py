@@ -230,3 +230,25 @@ def test_text_key_by_presence(spark, tmp_path):
 def test_validity_cleans_first(spark):
     got = spark.createDataFrame([("PER", "«Anna»", 0.9), ("PER", " (Anna). ", 0.9), ("LOC", ".il.", 0.9)], "l string, w string, s double").select(E.is_valid(F.col("l"), F.col("w"), F.col("s")).alias("v")).collect()
     assert [r.v for r in got] == [True, True, False]
+
+
+def test_base_chunks_match_a_loop(spark):
+    from scriptoria.operators import builders
+    from scriptoria.operators.splitting import split
+
+    texts = {1: "Anna vede Marco. " * 150 + "Poi Roma e Pisa. " * 150, 2: "Breve.", 3: None, 4: "Lucca e Siena"}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    spans = E.extract_spans(docs)
+    held = {}
+    for r in spans.orderBy("doc_id", "start").collect():
+        held.setdefault(r.doc_id, []).append((r.start, r.end, f"{r.label}:{r.word.lower()}"))
+    want = []
+    for d, text in texts.items():
+        pieces = split(text, entities=[(s, k) for s, _, k in held.get(d, [])])
+        for i, (t, a, b) in enumerate(pieces, 1):
+            keys = [k for s, e, k in held.get(d, []) if s >= a and e <= b]
+            want.append((d, i, t, a, b, f"Chunk NER {i}", len(keys), sorted(set(keys)), len(pieces)))
+    got = sorted((r.doc_id, r.chunk_id, r.text, r.char_start, r.char_end, r.topic_hint, r.num_entities, r.keys, r.total_chunks) for r in builders.base_chunks(docs, spans).collect())
+    assert got == sorted(want) and len(got) > 4
+    rows = spark.createDataFrame([(1, 1, 1, 0, 5), (1, 1, 2, 5, 9), (1, 2, 3, 9, 12)], "doc_id long, chapter int, section int, char_start int, char_end int")
+    assert sorted(tuple(r) for r in builders.chapter_metadata(rows).collect()) == [(1, 1, 2, 0, 9, "Capitolo NER 1"), (1, 2, 1, 9, 12, "Capitolo NER 2")]
