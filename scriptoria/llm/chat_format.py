@@ -7,7 +7,7 @@ segments, so that a conversation of any length streams through a task in bounded
 Language: ``{{ expr }}``; ``{% for x in messages %}``, ``{% if %}``/``elif``/``else``, ``{% set x = e %}``,
 ``{% generation %}``..``{% endgeneration %}`` (what it holds is under the loss mask). Expressions know
 strings, integers, names, ``.key`` and ``['key']`` on mappings only (nothing reaches Python attributes),
-``== != < > in``, ``and or not``, ``+ ~`` and filters. ``loop`` has index, first and last.
+``== != < > in``, ``and or not``, ``+ ~`` and filters; a string holds no closing braces. ``loop`` has index, first and last.
 
 Defined cases: null text or role is empty; turns are ordered by (turn, role, text), null first; rows with
 a null conv_id form one conversation of their own; repeated rows are turns like any other; a conversation
@@ -164,6 +164,9 @@ def parse(template: str) -> list[tuple]:
         out: list[tuple] = []
         while parts:
             part = parts.pop(0)
+            whole = part.startswith("{{") and part.endswith("}}") or part.startswith("{%") and part.endswith("%}")
+            if not whole and ("{{" in part or "{%" in part):
+                raise TemplateError(f"unclosed tag in {part[:20]!r}")
             if part.startswith("{{"):
                 out.append(("print", _Expr(part[2:-2]).whole()))
             elif part.startswith("{%"):
@@ -222,7 +225,10 @@ def _fold_expr(e: tuple) -> tuple:
     if kind in ("and", "or") and below[0][0] == "lit":
         return below[1] if bool(below[0][1]) == (kind == "and") else below[0]
     if all(x[0] == "lit" for x in below) and kind != "key":
-        return ("lit", not below[0][1] if kind == "not" else _BINARY[kind](below[0][1], below[1][1]))
+        try:
+            return ("lit", not below[0][1] if kind == "not" else _BINARY[kind](below[0][1], below[1][1]))
+        except TypeError as e:
+            raise TemplateError(f"{kind} of {below[0][1]!r} and {below[1][1]!r}") from e
     return (kind, *below)
 
 
