@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MACRO_THRESHOLD, MACRO_BATCH, GLOBAL_BATCH = 10, 10, 4
+CALL_CHARS = 20_000
 Summariser = Callable[[Column], Column]
 
 
@@ -29,6 +30,32 @@ def sections(chunks: DataFrame, group: str, section: str, order: str, summarise:
     return rows.select(group, section, "num_chunks", "total_chars", summarise(F.array_join(F.transform("held", lambda x: x["t"]), " ")).alias("summary"))
 
 
+def batched_sections(chunks: DataFrame, group: str, order: str, budget: int = CALL_CHARS, summarise: Summariser = gist) -> DataFrame:
+    """group, summary: a group's texts in order, summarised at once if they are of up to budget characters together, else in batches.
+
+    A batch ends before the text with which it would pass the budget. Summaries of batches, but for empty ones, are summarised again;
+    if that gives nothing, they are joined. Null texts are empty."""
+    held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.coalesce("text", F.lit("")).alias("t"))))
+    rows = chunks.groupBy(group).agg(held.alias("held")).select(group, F.transform("held", lambda x: x["t"]).alias("texts"))
+    # where batches begin, as places in texts, and the characters of the open one
+    start = F.struct(F.array(F.lit(0)).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("i"))
+
+    def step(acc: Column, t: Column) -> Column:
+        full = (acc["i"] > F.element_at(acc["at"], -1)) & (acc["n"] + F.length(t) > budget)
+        return F.struct(
+            F.when(full, F.concat(acc["at"], F.array(acc["i"]))).otherwise(acc["at"]).alias("at"),
+            F.when(full, F.length(t)).otherwise(acc["n"] + F.length(t)).alias("n"), (acc["i"] + 1).alias("i"),
+        )
+
+    rows = rows.withColumn("at", F.aggregate("texts", start, step)["at"]).withColumn("text", F.array_join("texts", "\n\n"))
+    ends = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("texts")))
+    parts = F.transform(F.arrays_zip(F.col("at").alias("a"), ends.alias("b")), lambda x: F.array_join(F.slice("texts", x["a"] + 1, x["b"] - x["a"]), "\n\n"))
+    rows = rows.withColumn("said", F.filter(F.transform(parts, lambda p: summarise(p)), lambda s: s != ""))
+    merged = F.coalesce(F.nullif(summarise(F.array_join("said", "\n\n")), F.lit("")), F.array_join("said", " "))
+    several = F.when(F.size("said") > 1, merged).otherwise(F.array_join("said", ""))
+    return rows.select(group, F.when(F.length("text") <= budget, summarise(F.col("text"))).otherwise(several).alias("summary"))
+
+
 def _reduce(rows: DataFrame, group: str, least: int, k: int, summarise: Summariser) -> DataFrame:
     """Groups of more than least rows (at, summary) become one row for each k, in order; others stay."""
     w = Window.partitionBy(group)

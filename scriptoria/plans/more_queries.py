@@ -11,6 +11,8 @@ from ..operators import chunks as H
 from ..operators import entities as E
 from ..operators import report as R
 from ..operators import summaries as M
+from ..sources import books as S
+from ..sources import sinks as K
 from .queries import _ENT, _GIST, _t
 from .registry import query
 
@@ -195,3 +197,23 @@ def base_chunks(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
     rows = B.base_chunks(docs, E.extract_spans(docs))
     return rows.select("doc_id", "chunk_id", "text", "char_start", "char_end", "topic_hint", "num_entities", F.array_join("keys", ",").alias("keys"), "total_chunks")
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i, coalesce(text, '') AS t FROM conversations),
+b AS (SELECT conv_id, i, t, length(t) AS n, 0 AS batch FROM c WHERE i = 1 UNION ALL SELECT c.conv_id, c.i, c.t, CASE WHEN b.n + length(c.t) > 500 THEN length(c.t) ELSE b.n + length(c.t) END, b.batch + CAST(b.n + length(c.t) > 500 AS INT)
+FROM b JOIN c ON c.conv_id = b.conv_id AND c.i = b.i + 1), j AS (SELECT conv_id, batch, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM b GROUP BY conv_id, batch), s AS (SELECT conv_id, batch, {_GIST} AS s FROM j),
+m AS (SELECT conv_id, count(*) AS k, string_agg(s, chr(10) || chr(10) ORDER BY batch) AS text, string_agg(s, ' ' ORDER BY batch) AS spaced FROM s WHERE s <> '' GROUP BY conv_id), g AS (SELECT conv_id, k, text, spaced, {_GIST} AS again FROM m),
+f AS (SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM c GROUP BY conv_id), w AS (SELECT conv_id, length(text) AS n, {_GIST} AS whole FROM f)
+SELECT conv_id, CASE WHEN n <= 500 THEN whole WHEN k > 1 THEN coalesce(nullif(again, ''), spaced) ELSE coalesce(text, '') END AS summary FROM w LEFT JOIN g USING (conv_id)""")
+def batched_summaries(spark, sf_dir):
+    """A conversation's summary, of batches of up to 500 characters where it is longer."""
+    return M.batched_sections(_t(spark, sf_dir, "conversations"), "conv_id", "turn", 500)
+
+
+@query("SELECT conv_id, turn, role || ' listed' AS topic_hint, text FROM conversations WHERE turn % 3 <> 1")
+def manifest_chunks(spark, sf_dir):
+    """Chunks that a manifest lists; those whose files are missing are passed over."""
+    rows = _t(spark, sf_dir, "conversations").select(F.lit("turns").alias("method"), F.col("conv_id").cast("string").alias("book_name"), F.col("turn").alias("chunk_id"), "text", "role", "conv_id")
+    listed = K.manifest(rows.withColumn("topic_hint", F.concat("role", F.lit(" listed"))).withColumn("char_start", F.lit(0)).withColumn("char_end", F.length("text")))
+    found = S.listed_chunks(listed, rows.where("chunk_id % 3 <> 1"))
+    return found.select(F.col("book_name").cast("long").alias("conv_id"), F.col("chunk_id").alias("turn"), "topic_hint", "text")

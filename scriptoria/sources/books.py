@@ -30,6 +30,17 @@ def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def read_chunks(spark: SparkSession, path: str, method: str, book: str) -> DataFrame:
+    """A book's chunks in order, of those that write_chunks wrote; other books' folders are not read."""
+    return spark.read.parquet(path).where((F.col("method") == method) & (F.col("book_name") == book)).orderBy("chunk_id")
+
+
+def listed_chunks(manifests: DataFrame, chunks: DataFrame) -> DataFrame:
+    """method, book_name, chunk_id, topic_hint (the manifest's), text: chunks that a manifest lists; those that are missing are passed over."""
+    listed = manifests.select("method", "book_name", F.explode("chunks").alias("c")).select("method", "book_name", "c.chunk_id", "c.topic_hint")
+    return listed.join(chunks.select("method", "book_name", "chunk_id", "text"), ["method", "book_name", "chunk_id"])
+
+
 def title_of(file_name):
     """A title from a file's name: without .json and what comes before the first _, dashes as spaces, words capitalised."""
     return F.initcap(F.replace(F.regexp_replace(F.regexp_replace(file_name, r"\.json$", ""), r"^[^_]*_", ""), F.lit("-"), F.lit(" ")))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from scriptoria.operators import chunks as H
 from scriptoria.operators import entities as E
 from scriptoria.operators import report as R
+from scriptoria.operators import summaries as M
 from scriptoria.plans import queries, registry  # noqa: F401
 from scriptoria.sources import books as B
 from scriptoria.sources import sinks
@@ -252,3 +253,19 @@ def test_base_chunks_match_a_loop(spark):
     assert got == sorted(want) and len(got) > 4
     rows = spark.createDataFrame([(1, 1, 1, 0, 5), (1, 1, 2, 5, 9), (1, 2, 3, 9, 12)], "doc_id long, chapter int, section int, char_start int, char_end int")
     assert sorted(tuple(r) for r in builders.chapter_metadata(rows).collect()) == [(1, 1, 2, 0, 9, "Capitolo NER 1"), (1, 2, 1, 9, 12, "Capitolo NER 2")]
+
+
+def test_batched_sections(spark):
+    rows = [(1, 1, "a" * 6), (1, 2, "b" * 7), (1, 3, None), (2, 1, None), (3, 1, "x" * 30), (3, 2, "y"), (4, 1, "ab"), (4, 2, "abc")]
+    said = M.batched_sections(spark.createDataFrame(rows, "g long, o long, text string"), "g", "o", 10, lambda t: F.concat(F.lit("<"), F.replace(t, F.lit("\n\n"), F.lit("|")), F.lit(">")))
+    assert dict(map(tuple, said.collect())) == {1: "<<aaaaaa>|<" + "b" * 7 + "|>>", 2: "<>", 3: "<<" + "x" * 30 + ">|<y>>", 4: "<ab|abc>"}
+
+
+def test_chunks_by_book_and_manifest(spark, tmp_path):
+    rows = [("m", b, i, f"hint {i}", f"{b}{i}", 0, 2) for b in "ab" for i in (2, 1)]
+    chunks = spark.createDataFrame(rows, "method string, book_name string, chunk_id int, topic_hint string, text string, char_start int, char_end int")
+    sinks.write_chunks(chunks, str(tmp_path / "chunks"))
+    read = B.read_chunks(spark, str(tmp_path / "chunks"), "m", "b")
+    assert [r.text for r in read.collect()] == ["b1", "b2"]
+    listed = B.listed_chunks(sinks.manifest(chunks), chunks.where("text <> 'a1'"))
+    assert sorted(r.text for r in listed.collect()) == ["a2", "b1", "b2"]
