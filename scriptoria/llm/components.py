@@ -21,18 +21,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u (all are larger than their v) has one edge and is no other's v: then each component is a star around its least vertex."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    ends = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return ends.agg(F.count_if((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)))).first()[0] == 0
+
+
 def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """u, v: every vertex that has an edge and is not the least of its component, and that least vertex.
 
     edges: u, v (long, not null); loops and repeats do no harm. Each round is written to the shared folder.
     """
-    now, seen = cut(edges.where("u <> v").select("u", "v").distinct()), None
+    now = cut(edges.where("u <> v").select("u", "v").distinct())
     for _ in range(most_rounds):
         after = cut(_small_star(_large_star(now)))
         drop_cut(now)
         now = after
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if _are_stars(now):
             return now
-        seen = mark
-    raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+    raise RuntimeError(f"no stars after {most_rounds} rounds")

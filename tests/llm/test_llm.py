@@ -125,6 +125,20 @@ def test_links_match_brute_force(spark, hot):
     assert {x: find(x) for x in signed if find(x) != x} == got
 
 
+def test_components_of_chains_stars_and_cycles(spark):
+    """Against a loop, with edges in both directions, loops, repeats, one large star and a long chain; without edges no rows."""
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 900)] + [(7, 7), (8, 9), (8, 9), (9, 8), (10, 11), (11, 12), (12, 10)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(110)]
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    got = components.star_components(spark.createDataFrame([e[:: rng.choice((1, -1))] for e in edges], "u long, v long")).collect()
+    assert sorted((r.u, r.v) for r in got) == sorted((x, r) for x, r in root.items() if x != r)
+    assert components.star_components(spark.createDataFrame([(3, 3)], "u long, v long")).count() == 0
+
+
 def test_dedup_of_odd_rows(spark, odd):
     got = simhash_dedup.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.fp == 0} == {1}
