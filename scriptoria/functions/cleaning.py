@@ -156,8 +156,15 @@ def strip_think(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""))
 
 
+#: Markdown's marks, in the order in which they go.
+MARKDOWN = (
+    (r"(?m)^#{1,6}\s+", ""), (r"\*{1,3}([^*]+)\*{1,3}", "$1"), (r"_{1,3}([^_]+)_{1,3}", "$1"), (r"(?m)^\s*[-*•►]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""),
+    (r"(?m)^[-*_]{3,}\s*$", ""), (r"\n{3,}", "\n\n"),
+)
+
+
 def strip_markdown(text: Column) -> Column:
-    for regex, to in ((r"(?m)^#{1,6}\s+", ""), (r"\*{1,3}([^*]+)\*{1,3}", "$1"), (r"_{1,3}([^_]+)_{1,3}", "$1"), (r"(?m)^\s*[-*•►]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), (r"(?m)^[-*_]{3,}\s*$", ""), (r"\n{3,}", "\n\n")):
+    for regex, to in MARKDOWN:
         text = F.regexp_replace(text, regex, to)
     return F.regexp_replace(text, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
 

@@ -119,7 +119,12 @@ def strip_think(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", C.strip_think(said).alias("text"))
 
 
-@query()
+_MARKDOWN = "text"
+for _a, _b in C.MARKDOWN:
+    _MARKDOWN = f"regexp_replace({_MARKDOWN}, '{_a}', '{_b.replace('$', chr(92))}', 'g')"
+
+
+@query(f"SELECT doc_id, regexp_replace({_MARKDOWN}, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g') AS text FROM documents")
 def strip_markdown(spark, sf_dir):
     return _map(spark, sf_dir, C.strip_markdown)
 
@@ -381,9 +386,9 @@ def events_tumbling(spark, sf_dir):
     return S.tumbling(_t(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
-@query()
+@query("""SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT unnest([b, b - INTERVAL 30 MINUTE]) AS start, event_type, value FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS b, event_type, value FROM events)) GROUP BY start, event_type""")
 def events_sliding(spark, sf_dir):
-    return S.sliding(_t(spark, sf_dir, "events"))
+    return S.sliding(_t(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
 @query("""WITH s AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS c FROM events), g AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
