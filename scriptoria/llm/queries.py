@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, class_lm, decontaminate, media, mixing, quality_knn, secret_scan, simhash_dedup, token_files, url_filter
+from . import chat_format, class_lm, decontaminate, exact_dedup, media, mixing, quality_knn, secret_scan, simhash_dedup, token_files, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,9 +63,13 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_secret_scans, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_mixing, op6_quality_classifier, op7_lm_scoring, op8_media_columns, op9_url_filters, op10_token_ids)
+    for f in (op1_chat_formatting, op2_secret_scans, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_mixing, op6_quality_classifier, op7_lm_scoring, op8_media_columns, op9_url_filters, op10_token_ids, op13_exact_dedup)
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -128,6 +132,11 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id
 """
 
+_EXACT = f"""
+WITH d AS (SELECT doc_id, {_LOWER.replace('text', "coalesce(text, '')")} AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256 FROM d WINDOW w AS (PARTITION BY norm)
+"""
+
 
 #: Levels of the tree that the SQL unrolls; no path of the tables is deeper.
 _URL_LEVELS = 8
@@ -172,4 +181,4 @@ def _urls_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _CHAT, "op2_secret_scans": _secrets_sql(), "op4_benchmark_decontamination": _CONTAINED, "op5_mixing": _MIX, "op9_url_filters": _urls_sql()}
+    return {"op1_chat_formatting": _CHAT, "op2_secret_scans": _secrets_sql(), "op4_benchmark_decontamination": _CONTAINED, "op5_mixing": _MIX, "op9_url_filters": _urls_sql(), "op13_exact_dedup": _EXACT}
