@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, class_lm, decontaminate, exact_dedup, media, mixing, quality_knn, secret_scan, simhash_dedup, token_files, url_filter
+from . import chat_format, class_lm, decontaminate, exact_dedup, media, mixing, quality_knn, secret_scan, simhash_dedup, spelling, token_files, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,13 +63,17 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents")).drop("row")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_secret_scans, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_mixing, op6_quality_classifier, op7_lm_scoring, op8_media_columns, op9_url_filters, op10_token_ids, op13_exact_dedup)
+    for f in (op1_chat_formatting, op2_secret_scans, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_mixing, op6_quality_classifier, op7_lm_scoring, op8_media_columns, op9_url_filters, op10_token_ids, op12_spelling_variants, op13_exact_dedup)
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -138,6 +142,31 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 """
 
 
+def _crc_entry(i: int) -> int:
+    for _ in range(8):
+        i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+_BYTES = "flatten(list_transform(string_split(s, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END))"
+_CRC = f"xor(list_reduce([4294967295::BIGINT] || {_BYTES}, lambda a, b: xor(a >> 8, [{', '.join(str(_crc_entry(i)) + '::BIGINT' * (i == 0) for i in range(256))}][(xor(a, b) & 255) + 1])), 4294967295)"
+_SPELLING = f"""
+WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.replace('text', "coalesce(text, '')")}, '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+c AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, run, count(*) AS n FROM d WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, {_CRC} AS h FROM c),
+e AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substring(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+k AS (SELECT word, n, i, left(word, i) || substring(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+p AS (SELECT a.word, b.word AS other, b.n AS m FROM k a JOIN k b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT k.word, w.word, w.n FROM k JOIN w ON k.rest = w.word UNION SELECT w.word, k.word, k.n FROM k JOIN w ON k.rest = w.word),
+b AS (SELECT word, count(*) AS n_near, max(m) AS m FROM p GROUP BY word),
+f AS (SELECT word, min(other) AS form FROM p JOIN b USING (word) WHERE p.m = b.m GROUP BY word),
+v AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN form END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n FROM w LEFT JOIN b USING (word) LEFT JOIN f USING (word)),
+r AS (SELECT word, word AS root FROM v UNION ALL SELECT r.word, v.form FROM r JOIN v ON r.root = v.word WHERE v.form IS NOT NULL)
+SELECT word, form, r.root, n, n_near, form_n FROM v JOIN r USING (word) JOIN (SELECT word AS root FROM v WHERE form IS NULL) l ON r.root = l.root
+"""
+
+
 #: Levels of the tree that the SQL unrolls; no path of the tables is deeper.
 _URL_LEVELS = 8
 
@@ -181,4 +210,4 @@ def _urls_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _CHAT, "op2_secret_scans": _secrets_sql(), "op4_benchmark_decontamination": _CONTAINED, "op5_mixing": _MIX, "op9_url_filters": _urls_sql(), "op13_exact_dedup": _EXACT}
+    return {"op1_chat_formatting": _CHAT, "op2_secret_scans": _secrets_sql(), "op4_benchmark_decontamination": _CONTAINED, "op5_mixing": _MIX, "op9_url_filters": _urls_sql(), "op12_spelling_variants": _SPELLING, "op13_exact_dedup": _EXACT}
