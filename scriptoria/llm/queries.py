@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, class_lm, decontaminate, exact_dedup, media, mixing, quality_knn, secret_scan, simhash_dedup, spelling, token_files, url_filter
+from . import chat_format, class_lm, collocations, decontaminate, exact_dedup, media, mixing, quality_knn, secret_scan, simhash_dedup, spelling, token_files, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,6 +63,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_secret_scans, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_mixing, op6_quality_classifier, op7_lm_scoring, op8_media_columns, op9_url_filters, op10_token_ids, op12_spelling_variants, op13_exact_dedup)
+    for f in (op1_chat_formatting, op2_secret_scans, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_mixing, op6_quality_classifier, op7_lm_scoring, op8_media_columns, op9_url_filters, op10_token_ids, op11_collocations, op12_spelling_variants, op13_exact_dedup)
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -141,6 +145,20 @@ WITH d AS (SELECT doc_id, {_LOWER.replace('text', "coalesce(text, '')")} AS norm
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256 FROM d WINDOW w AS (PARTITION BY norm)
 """
 
+_PHRASES = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.replace('text', "coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3, 4]) AS k FROM w) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a, string_split(phrase, ' ') AS w FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+b AS (SELECT lang, phrase, max(a) AS within FROM (SELECT lang, a, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS phrase FROM f WHERE k > 2) GROUP BY lang, phrase),
+c AS (SELECT f.lang, f.phrase, f.a, f.w, f.k, unnest(range(1, f.k)) AS i FROM f LEFT JOIN b USING (lang, phrase) WHERE f.k > 1 AND (within IS NULL OR 100 * within < 80 * f.a)),
+s AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, c.i, CAST(2000000::HUGEINT * c.a // (x.a + y.a) AS BIGINT) AS score
+  FROM c JOIN f x ON c.lang = x.lang AND array_to_string(c.w[1:c.i], ' ') = x.phrase JOIN f y ON c.lang = y.lang AND array_to_string(c.w[c.i + 1:c.k], ' ') = y.phrase),
+m AS (SELECT lang, phrase, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM m JOIN t USING (lang) QUALIFY rank <= 2000
+"""
+
 
 def _crc_entry(i: int) -> int:
     for _ in range(8):
@@ -210,4 +228,4 @@ def _urls_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _CHAT, "op2_secret_scans": _secrets_sql(), "op4_benchmark_decontamination": _CONTAINED, "op5_mixing": _MIX, "op9_url_filters": _urls_sql(), "op12_spelling_variants": _SPELLING, "op13_exact_dedup": _EXACT}
+    return {"op1_chat_formatting": _CHAT, "op2_secret_scans": _secrets_sql(), "op4_benchmark_decontamination": _CONTAINED, "op5_mixing": _MIX, "op9_url_filters": _urls_sql(), "op11_collocations": _PHRASES, "op12_spelling_variants": _SPELLING, "op13_exact_dedup": _EXACT}
