@@ -56,9 +56,23 @@ _CASES = (
     ("I", r"((?<=[A-Z])1(?=[A-Z])|(?<![A-Za-z])1(?= [A-Z])|(?<=[A-Z])1(?![A-Za-z]))"),
     ("l", r"((?<=[A-Za-z])1(?=[A-Za-z])|(?<![A-Za-z])1(?=[a-z]))"),
 )
+#: Tokens that are rewritten.
 _TOKENS = {"1'": "l'", "chh": "ch", "'": "’", "piu": "più", "insi no": "insino", "Capitoloprimo": "Capitolo primo", "Edizionedi": "Edizione di"}
-#: Noncharacters, which texts do not hold: they part the places of a token, an O, an I and an l.
-_MARKS = "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4"
+#: Noncharacters: they part the places of a token, an O, an I and an l. A text's own ones are followed by _OWN meanwhile, which no mark is.
+_MARKS, _OWN = "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4", "\ufdd5"
+
+
+def _guarded(text: Column) -> Column:
+    return reduce(lambda t, m: F.replace(t, F.lit(m), F.lit(m + _OWN)), _MARKS, text)
+
+
+def _unguarded(text: Column) -> Column:
+    return reduce(lambda t, m: F.replace(t, F.lit(m + _OWN), F.lit(m)), _MARKS, text)
+
+
+def strip(text: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
 
 
 def contextual_rewrite(text: Column) -> Column:
@@ -71,11 +85,11 @@ def contextual_rewrite(text: Column) -> Column:
     def left(token: str = "", o: str = "", i: str = "", l: str = "") -> str:  # noqa: E741
         return "".join(m + part for m, part in zip(_MARKS, (token, o, i, l, ""), strict=True))
 
-    out = F.regexp_replace(text, "|".join(regex for _, regex in _CASES), of["keep"] + left(of["token"], of["O"], of["I"], of["l"]))
+    out = F.regexp_replace(_guarded(text), "|".join(regex for _, regex in _CASES), of["keep"] + left(of["token"], of["O"], of["I"], of["l"]))
     said = {left(): "", left(o="0"): "O", left(i="1"): "I", left(l="1"): "l"} | {left(token): to for token, to in _TOKENS.items()}
     for mark, to in said.items():
         out = F.replace(out, F.lit(mark), F.lit(to))
-    return toggle_quotes(out)
+    return toggle_quotes(_unguarded(out))
 
 
 def reconnect_drop_caps(text: Column) -> Column:
@@ -84,8 +98,10 @@ def reconnect_drop_caps(text: Column) -> Column:
     vowels = [("A", f"riosto{end}"), ("O", f"rlando{end}"), ("O", "riand"), ("I", f"nghilterra{end}"), ("O", f"nde{end}"), ("U", f"rbino{end}"), ("I", "o ")]
     out = F.regexp_replace(text, f"{lone}I (?=Spagna{end})", "In")
     out = F.regexp_replace(out, lone + "(?:" + "|".join(f"({v}) (?={w})" for v, w in vowels) + ")", "".join(f"${i + 1}" for i in range(len(vowels))))
-    out = F.regexp_replace(out, lone + r"([B-DF-HJ-NP-TV-Z0]) ", "$1\ue000")  # the mark tells a joined 0
-    return F.replace(F.replace(out, F.lit("0\ue000"), F.lit("O")), F.lit("\ue000"), F.lit(""))
+    out = F.regexp_replace(_guarded(out), lone + r"(?:([B-DF-HJ-NP-TV-Z])|(0)) ", "$1" + _MARKS[0] + "$2" + _MARKS[1])
+    for joined, to in (("0", "O"), ("", "")):
+        out = F.replace(out, F.lit(_MARKS[0] + joined + _MARKS[1]), F.lit(to))
+    return _unguarded(out)
 
 
 def apply_dictionary(text: Column) -> Column:
@@ -153,7 +169,7 @@ def apply_corrections(text: Column, corrections: Column) -> Column:
 
 
 def strip_think(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""))
+    return strip(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""))
 
 
 #: Markdown's marks, in the order in which they go.

@@ -1,12 +1,18 @@
-"""Chunks of a book built from its text and entities: base chunks with what they hold, and sections joined of them."""
+"""Chunks of a book built from its text, paragraphs and entities: base chunks, chunks by section, and sections joined to chapters."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import frame_boundaries
 from .entities import contained
-from .splitting import size_split
+from .splitting import PIECE, anchored, size_split, split
+from .textrows import text_rows
+
+ENTITIES = "array<struct<start:int,end:int,word:string,label:string>>"
 
 
 def entity_key(label: Column, word: Column) -> Column:
@@ -14,23 +20,120 @@ def entity_key(label: Column, word: Column) -> Column:
     return F.concat(label, F.lit(":"), F.lower(F.trim(word)))
 
 
+def _keys(entities: Column | str) -> Column:
+    return F.transform(entities, lambda e: entity_key(e["label"], e["word"]))
+
+
+def _with_entities(pieces: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """pieces (char_start, char_end) with entities: the spans inside each, by place."""
+    held = contained(pieces.select(*keys, "char_start", "char_end"), spans, "doc_id")
+    held = held.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "word", "label"))).cast(ENTITIES).alias("entities"))
+    return pieces.join(held, keys, "left").withColumn("entities", F.coalesce("entities", F.array().cast(ENTITIES)))
+
+
+def _marks(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, entities: what size_split reads."""
+    return spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", entity_key(F.col("label"), F.col("word")).alias("key")))).alias("entities"))
+
+
 def base_chunks(docs: DataFrame, spans: DataFrame, most: int = 2000, overlap: int = 300) -> DataFrame:
-    """doc_id, chunk_id (from 1), text, char_start, char_end, topic_hint, num_entities, keys (of its entities, each once), total_chunks.
+    """doc_id, chunk_id (from 1), text, char_start, char_end, topic_hint, entities, num_entities, keys (of its entities, each once), total_chunks.
 
     docs: doc_id, text. spans: doc_id, word, label, start, end; they also move the places at which texts are divided."""
-    marks = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start"), entity_key(F.col("label"), F.col("word")).alias("key")))).alias("entities"))
-    pieces = size_split(docs.select("doc_id", "text").join(marks, "doc_id", "left"), most=most, overlap=overlap)
-    held = contained(pieces.select("doc_id", "idx", "char_start", "char_end"), spans, "doc_id")
-    held = held.groupBy("doc_id", "idx").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(entity_key(F.col("label"), F.col("word")))).alias("keys"))
+    pieces = size_split(docs.select("doc_id", "text").join(_marks(spans, ["doc_id"]), "doc_id", "left"), most=most, overlap=overlap)
     number = F.col("idx") + 1
-    return pieces.join(held, ["doc_id", "idx"], "left").select(
+    return _with_entities(pieces, spans, ["doc_id", "idx"]).select(
         "doc_id", number.alias("chunk_id"), "text", "char_start", "char_end", F.concat(F.lit("Chunk NER "), number.cast("string")).alias("topic_hint"),
-        F.coalesce("n", F.lit(0)).alias("num_entities"), F.coalesce("keys", F.array().cast("array<string>")).alias("keys"),
+        "entities", F.size("entities").cast("long").alias("num_entities"), F.array_sort(F.array_distinct(_keys("entities"))).alias("keys"),
         F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("total_chunks"),
     )
 
 
+CHUNK = ("doc_id", "chunk_id", "section", "text", "char_start", "char_end", "topic_hint", "entities", "num_entities", "total_chunks")
+
+
+def _numbered(pieces: DataFrame, hint: str) -> DataFrame:
+    """pieces (section, part, divided) numbered over the whole book, with their hints and counts."""
+    book = Window.partitionBy("doc_id")
+    named = F.concat(F.lit(hint), F.col("section").cast("string"), F.when(F.col("divided"), " (parte)").otherwise(""))
+    rows = pieces.withColumn("chunk_id", F.row_number().over(book.orderBy("section", "part"))).withColumn("total_chunks", F.count(F.lit(1)).over(book))
+    return rows.withColumn("topic_hint", named).withColumn("num_entities", F.size("entities").cast("long")).select(*CHUNK)
+
+
+def book_sections(docs: DataFrame, paragraphs: DataFrame, boundaries: DataFrame, search: int = 300) -> DataFrame:
+    """doc_id, section (from 1), char_start, char_end, text: what lies between two boundaries.
+
+    paragraphs: doc_id, idx, char_start, char_end. boundaries: doc_id, boundary, the idx before which a section begins; repeats do no harm.
+    A section but the last whose end falls into a sentence goes on to the sentence's end, if there is one within search characters; the next begins where it would."""
+    book = Window.partitionBy("doc_id")
+    cuts = boundaries.select("doc_id", F.col("boundary").cast("int").alias("idx"), F.lit(1).alias("cut")).distinct()
+    rows = paragraphs.select("doc_id", "idx", "char_start", "char_end").join(cuts, ["doc_id", "idx"], "left")
+    rows = rows.withColumn("section", 1 + F.sum(F.when(F.col("idx") > 0, F.coalesce("cut", F.lit(0))).otherwise(0)).over(book.orderBy("idx")))
+    rows = rows.groupBy("doc_id", "section").agg(F.min_by("char_start", "idx").alias("char_start"), F.max_by("char_end", "idx").alias("char_end"))
+    rows = rows.withColumn("last", F.col("section") == F.max("section").over(book)).join(docs.select("doc_id", F.col("text").alias("_book")), "doc_id")
+    ends = F.substring("_book", F.col("char_end"), F.lit(1)).rlike("[.!?\"'»\n]")
+    more = F.length(F.regexp_extract(F.substring("_book", F.col("char_end") + 1, F.lit(search)), r"^[^.!?]*[.!?]", 0))
+    rows = rows.withColumn("char_end", F.col("char_end") + F.when(F.col("last") | ends, 0).otherwise(more))
+    return rows.select("doc_id", "section", "char_start", "char_end", F.substring("_book", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("text"))
+
+
+def section_chunks(docs: DataFrame, paragraphs: DataFrame, boundaries: DataFrame, spans: DataFrame, most: int = 2000, overlap: int = 300) -> DataFrame:
+    """CHUNK's columns: sections of a book, those over most characters divided; chunks are numbered through the book.
+
+    Where a section is divided, entities move the places as in a text of its own, with their places in the book (not in the section)."""
+    sections = book_sections(docs, paragraphs, boundaries).withColumnsRenamed({"char_start": "from", "char_end": "to"})
+    keys = ["doc_id", "section"]
+    long = sections.where(F.length("text") > most)
+    inside = contained(long.select(*keys, F.col("from").alias("char_start"), F.col("to").alias("char_end")), spans, "doc_id")
+    parts = size_split(long.select(*keys, "text").join(_marks(inside, keys), keys, "left"), keys, most, overlap).join(long.select(*keys, "from"), keys)
+    parts = parts.select(*keys, F.col("idx").alias("part"), F.lit(True).alias("divided"), "text", (F.col("from") + F.col("char_start")).alias("char_start"), (F.col("from") + F.col("char_end")).alias("char_end"))
+    whole = sections.where(F.length("text") <= most).select(*keys, F.lit(0).alias("part"), F.lit(False).alias("divided"), "text", F.col("from").alias("char_start"), F.col("to").alias("char_end"))
+    return _numbered(_with_entities(whole.unionByName(parts), spans, [*keys, "part"]), "Capitolo Semantico ")
+
+
+def ner_sections(chunks: DataFrame) -> DataFrame:
+    """doc_id, section (from 1), text, char_start, char_end, entities (the first of each key): chunks of base_chunks joined while a key of the four before recurs."""
+    book = Window.partitionBy("doc_id").orderBy("chunk_id")
+    rows = frame_boundaries(chunks, ["doc_id"], "chunk_id", "keys", 4, 1)
+    rows = rows.withColumn("section", 1 + F.sum(F.col("boundary").cast("int")).over(book))
+    ordered = lambda name: F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", name))), lambda x: x[name])
+    rows = rows.groupBy("doc_id", "section").agg(
+        F.array_join(ordered("text"), " ").alias("text"), F.min_by("char_start", "chunk_id").alias("char_start"), F.max_by("char_end", "chunk_id").alias("char_end"), F.flatten(ordered("entities")).alias("entities")
+    )
+    rows = rows.withColumn("_keys", _keys("entities"))
+    return rows.withColumn("entities", F.filter("entities", lambda e, i: F.array_position("_keys", F.get("_keys", i)) == i + 1)).drop("_keys")
+
+
+def ner_section_chunks(docs: DataFrame, spans: DataFrame, most: int = 2000, overlap: int = 300) -> DataFrame:
+    """CHUNK's columns, chapter_id and chapter_hint: sections of ner_sections, those over most characters divided again and found again in the book.
+
+    A divided section's chunks hold those of its entities that lie inside them. Sections make chapters by what their chunks hold."""
+    sections = ner_sections(base_chunks(docs, spans, most, overlap))
+    long = sections.where(F.length("text") > most)
+
+    def again(book: str | None, parts: list[dict]) -> Iterator[tuple[int, int, str, int, int]]:
+        for s in parts:
+            found = anchored(book or "", (x[0] for x in split(s["text"], most, overlap)), s["char_start"], overlap + 100)
+            yield from ((s["section"], part, *x) for part, x in enumerate(found))
+
+    held = long.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "text", "char_start"))).alias("parts"))
+    parts = text_rows(docs.select("doc_id", F.col("text").alias("book")).join(held, "doc_id"), ["doc_id"], ["book", "parts"], again, {"section": "integer", "part": "integer", **PIECE})
+    inside = F.filter("entities", lambda e: (e["start"] >= F.col("char_start")) & (e["end"] <= F.col("char_end")))
+    parts = parts.drop("idx").join(long.select("doc_id", "section", "entities"), ["doc_id", "section"]).withColumn("entities", inside).withColumn("divided", F.lit(True))
+    whole = sections.where(F.length("text") <= most).withColumn("part", F.lit(0)).withColumn("divided", F.lit(False))
+    return with_chapters(_numbered(whole.unionByName(parts), "Sezione NER "))
+
+
+def with_chapters(chunks: DataFrame) -> DataFrame:
+    """chunks (section, entities) with chapter_id and chapter_hint: a chapter ends where a section shares fewer than two keys with the three before it."""
+    keys = F.array_distinct(F.flatten(F.collect_list(_keys("entities"))))
+    sections = frame_boundaries(chunks.groupBy("doc_id", "section").agg(keys.alias("keys")), ["doc_id"], "section", "keys", 3, 2)
+    number = 1 + F.sum(F.col("boundary").cast("int")).over(Window.partitionBy("doc_id").orderBy("section"))
+    sections = sections.select("doc_id", "section", number.alias("chapter_id"))
+    return chunks.join(sections, ["doc_id", "section"]).withColumn("chapter_hint", F.concat(F.lit("Capitolo NER "), F.col("chapter_id").cast("string")))
+
+
 def chapter_metadata(chunks: DataFrame) -> DataFrame:
-    """doc_id, chapter, chapter_hint, num_sections, char_start, char_end; chunks: doc_id, chapter, section, char_start, char_end."""
-    some = chunks.groupBy("doc_id", "chapter").agg(F.countDistinct("section").alias("num_sections"), F.coalesce(F.min("char_start"), F.lit(0)).alias("char_start"), F.coalesce(F.max("char_end"), F.lit(0)).alias("char_end"))
-    return some.withColumn("chapter_hint", F.concat(F.lit("Capitolo NER "), F.col("chapter").cast("string")))
+    """doc_id, chapter_id, chapter_hint, section_ids, num_sections, char_start, char_end; chunks: doc_id, chapter_id, section, char_start, char_end."""
+    some = chunks.groupBy("doc_id", "chapter_id").agg(F.array_sort(F.collect_set("section")).alias("section_ids"), F.coalesce(F.min("char_start"), F.lit(0)).alias("char_start"), F.coalesce(F.max("char_end"), F.lit(0)).alias("char_end"))
+    return some.withColumn("num_sections", F.size("section_ids").cast("long")).withColumn("chapter_hint", F.concat(F.lit("Capitolo NER "), F.col("chapter_id").cast("string")))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import strip
+from .splitting import PIECE, paragraphs
+from .textrows import text_rows
+
 
 def line_chunks(docs: DataFrame) -> DataFrame:
     """doc_id, idx, text of every line that is not blank."""
@@ -73,13 +77,17 @@ def islands(rows: DataFrame, group: list[str], order: str, value: Column) -> Dat
 
 
 def budget_batches(rows: DataFrame, group: list[str], order: str, text: str, budget: int) -> DataFrame:
-    """group, batches: lengths of greedy batches: a new one starts where the budget would be passed."""
-    held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.length(text).alias("n"))))
-    empty = F.struct(F.lit(0).alias("open"), F.array().cast("array<int>").alias("done"))
+    """group, batches: lengths of greedy batches: a new one starts where a row would pass the budget, unless none is in the batch yet."""
+    held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.coalesce(F.length(text), F.lit(0)).alias("n"))))
+    # the lengths of the open batch's rows and of those done; one that holds only empty rows is open too
+    empty = F.struct(F.lit(0).alias("rows"), F.lit(0).alias("open"), F.array().cast("array<int>").alias("done"))
 
     def step(acc: Column, x: Column) -> Column:
-        full = (acc["open"] > 0) & (acc["open"] + x["n"] > budget)
-        return F.struct(F.when(full, x["n"]).otherwise(acc["open"] + x["n"]).alias("open"), F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"))
+        full = (acc["rows"] > 0) & (acc["open"] + x["n"] > budget)
+        return F.struct(
+            F.when(full, 1).otherwise(acc["rows"] + 1).alias("rows"), F.when(full, x["n"]).otherwise(acc["open"] + x["n"]).alias("open"),
+            F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
+        )
 
     folded = F.aggregate(held, empty, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
     return rows.groupBy(*group).agg(folded.alias("batches"))
@@ -103,18 +111,9 @@ def section_number(hint: Column) -> Column:
 
 
 def base_topic(hint: Column) -> Column:
-    return F.trim(F.regexp_replace(hint, r"\s*\(parte.*?\)", ""))
+    return strip(F.regexp_replace(hint, r"(?U)\s*\(parte.*?\)", ""))
 
 
 def pseudo_paragraphs(docs: DataFrame, target: int = 500) -> DataFrame:
-    """doc_id, idx, text: sentences joined by one space until they reach target characters."""
-    sentences = F.filter(F.transform(F.split("text", r"(?<=[.!?])[\s\n]+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
-    empty = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
-
-    def step(acc: Column, s: Column) -> Column:
-        both = F.when(acc["open"] == "", s).otherwise(F.concat(acc["open"], F.lit(" "), s))
-        full = F.length(both) >= target
-        return F.struct(F.when(full, "").otherwise(both).alias("open"), F.when(full, F.concat(acc["done"], F.array(both))).otherwise(acc["done"]).alias("done"))
-
-    folded = F.aggregate(sentences, empty, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
-    return docs.select("doc_id", F.posexplode(folded).alias("idx", "text"))
+    """doc_id, idx, text, char_start, char_end of pseudo-paragraphs: sentences joined until they reach target characters."""
+    return text_rows(docs, ["doc_id"], ["text"], lambda text: paragraphs(text, target), PIECE)

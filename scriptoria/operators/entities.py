@@ -113,27 +113,34 @@ def retention_keys(entities: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3)))
 
 
+def _within(keys: Column, summary: Column) -> Column:
+    """Those of keys that the lower-cased summary holds; it is lower-cased once."""
+    return F.transform(F.array(F.lower(summary)), lambda low: F.filter(keys, lambda k: F.contains(low, k)))[0]
+
+
 def retention_report(entities: Column, summary: Column) -> Column:
     """retention_percent (100 without names), total_key_entities, survived, lost: which names of entities (label, word) occur in the lower-cased summary."""
     keys = retention_keys(entities)
-    survived = F.filter(keys, lambda k: F.contains(F.lower(summary), k))
+    survived = _within(keys, summary)
     percent = F.when(F.size(keys) == 0, 100.0).otherwise(F.round(F.size(survived) * 100.0 / F.greatest(F.size(keys), F.lit(1)), 1))
     return F.struct(percent.alias("retention_percent"), F.size(keys).cast("long").alias("total_key_entities"), survived.alias("survived"), F.array_except(keys, survived).alias("lost"))
 
 
-def retention_global(words: DataFrame, summaries: DataFrame, key: str) -> DataFrame:
-    """key, total_unique_entities, found_in_global, retention_percent: names of a whole book (key, word, label) that its summary (key, summary) has."""
+def retention_global(words: DataFrame, summaries: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, total_unique_entities, found_in_global, retention_percent: names of a whole book (keys, word, label) that its summary (keys, summary; one row) has.
+
+    Every book of summaries has a row; one without names retains 0."""
     word = F.lower(F.trim(F.replace("word", F.lit("##"), F.lit(""))))
-    names = words.where(F.col("label").isin("PER", "LOC")).select(key, word.alias("word")).where(F.length("word") >= 3).distinct()
-    held = names.join(summaries.select(key, F.lower("summary").alias("summary")), key, "left")
-    found = held.groupBy(key).agg(F.count(F.lit(1)).alias("total_unique_entities"), F.count_if(F.contains(F.coalesce("summary", F.lit("")), F.col("word"))).alias("found_in_global"))
-    return found.withColumn("retention_percent", F.round(F.col("found_in_global") * 100.0 / F.col("total_unique_entities"), 1))
+    names = words.where(F.col("label").isin("PER", "LOC")).select(*keys, word.alias("word")).where(F.length("word") >= 3).distinct()
+    held = summaries.select(*keys, F.lower("summary").alias("summary")).join(names, keys, "left")
+    found = held.groupBy(*keys).agg(F.count("word").alias("total_unique_entities"), F.count_if(F.contains(F.coalesce("summary", F.lit("")), F.col("word"))).alias("found_in_global"))
+    return found.withColumn("retention_percent", F.coalesce(F.round(F.col("found_in_global") * 100.0 / F.nullif("total_unique_entities", F.lit(0)), 1), F.lit(0.0)))
 
 
 def retention(keys: Column, summary: Column, none: float = 100.0) -> Column:
     """Per cent of distinct keys that occur, anywhere, in the lower-cased summary."""
     distinct = F.array_distinct(F.transform(keys, lambda k: F.lower(k)))
-    found = F.size(F.filter(distinct, lambda k: F.lower(summary).contains(k)))
+    found = F.size(_within(distinct, summary))
     return F.when(F.size(distinct) == 0, none).otherwise(F.round(found * 100.0 / F.greatest(F.size(distinct), F.lit(1)), 1))
 
 

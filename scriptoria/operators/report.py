@@ -19,43 +19,9 @@ STOPWORDS = (
 )
 
 
-def terms(chunks: DataFrame) -> DataFrame:
-    """doc_id, idx, word: words of three letters or more (Latin-1), in lower case, without stopwords."""
-    rows = chunks.select("doc_id", "idx", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("word"))
-    return rows.where(F.col("word").rlike("^[a-zà-ÿ]{3,}$") & ~F.col("word").isin(*STOPWORDS))
-
-
-def term_frequency(chunks: DataFrame) -> DataFrame:
-    """doc_id, idx, word, tf: a word's share of its chunk's terms."""
-    counts = terms(chunks).groupBy("doc_id", "idx", "word").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("tf", F.col("n") / F.sum("n").over(Window.partitionBy("doc_id", "idx"))).drop("n")
-
-
-def tfidf(chunks: DataFrame) -> DataFrame:
-    """doc_id, idx, word, w: tf * ln(N / df) within each document; words of all its chunks have none."""
-    size = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
-    tf = term_frequency(chunks)
-    df = tf.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("df"))
-    return tf.join(df, ["doc_id", "word"]).join(size, "doc_id").where("df < chunks").select("doc_id", "idx", "word", (F.col("tf") * F.ln(F.col("chunks") / F.col("df"))).alias("w"))
-
-
-def adjacent_similarity(chunks: DataFrame) -> DataFrame:
-    """doc_id, idx, sim: the cosine of each chunk's weights with the next chunk's; documents of three chunks or more."""
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    ranked = chunks.withColumn("nth", F.row_number().over(w)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).where("of >= 3")
-    chunks = ranked.select("doc_id", F.col("nth").alias("idx"), "text", "of")
-    weights = tfidf(chunks.drop("of"))
-    norms = weights.groupBy("doc_id", "idx").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    nxt = weights.select("doc_id", (F.col("idx") - 1).alias("idx"), "word", F.col("w").alias("v"))
-    dots = weights.join(nxt, ["doc_id", "idx", "word"]).groupBy("doc_id", "idx").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    after = norms.select("doc_id", (F.col("idx") - 1).alias("idx"), F.col("norm").alias("next_norm"))
-    pairs = chunks.where("idx < of").select("doc_id", "idx").join(dots, ["doc_id", "idx"], "left").join(norms, ["doc_id", "idx"], "left").join(after, ["doc_id", "idx"], "left")
-    scale = F.col("norm") * F.col("next_norm")
-    return pairs.select("doc_id", "idx", F.round(F.coalesce(F.when(scale > 0, F.col("dot") / scale), F.lit(0.0)), 4).alias("sim"))
-
-
 _WORD = re.compile(r"[^\W]+")
 _LATIN = re.compile(r"[a-zà-ÿ]{3,}")
+_LEFT_OUT = frozenset(STOPWORDS)
 Weights = list[dict[str, float]]
 
 
@@ -64,9 +30,9 @@ def line_weights(text: str | None, least: int = 1) -> tuple[list[str], Weights,
     lines = [x for x in (text or "").split("\n") if x.strip(" ")]
     if len(lines) < least:
         return [], [], []
-    counts = [Counter(w for w in _WORD.findall(x.lower()) if _LATIN.fullmatch(w) and w not in STOPWORDS) for x in lines]
+    counts = [Counter(w for w in _WORD.findall(x.lower()) if _LATIN.fullmatch(w) and w not in _LEFT_OUT) for x in lines]
     df = Counter(w for c in counts for w in c)
-    tf = [{w: n / c.total() for w, n in c.items()} for c in counts]
+    tf = [{w: n / all_words for w, n in c.items()} for c in counts for all_words in (c.total(),)]
     return lines, tf, [{w: v * math.log(len(lines) / df[w]) for w, v in t.items() if df[w] < len(lines)} for t in tf]
 
 
@@ -191,13 +157,20 @@ def cross_pairs(rows: DataFrame, group: str, section: str, order: str, most: int
     return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy("a"))).where(F.col("_n") <= most).select(group, "a", "b")
 
 
-def boundary_scores(gold: DataFrame, local: DataFrame, tolerance: int) -> DataFrame:
-    """One row: matched and all boundaries of both sides, precision, recall, f1. gold: g, local: l."""
-    within = F.abs(F.col("l") - F.col("g")) <= tolerance
-    hit = local.join(gold, within, "left_semi").agg(F.count(F.lit(1)).alias("hit_local")).join(local.agg(F.count(F.lit(1)).alias("n_local")))
-    found = gold.join(local, within, "left_semi").agg(F.count(F.lit(1)).alias("hit_gold")).join(gold.agg(F.count(F.lit(1)).alias("n_gold")))
-    p, r = F.col("hit_local") / F.col("n_local"), F.col("hit_gold") / F.col("n_gold")
-    return hit.join(found).select("hit_local", "n_local", "hit_gold", "n_gold", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(2 * p * r / (p + r), 4).alias("f1"))
+def boundary_scores(gold: DataFrame, local: DataFrame, tolerance: int, group: list[str]) -> DataFrame:
+    """group; matched and all boundaries of both sides, precision, recall, f1 (0 where nothing is there). gold: group, g; local: group, l.
+
+    A boundary is matched if the other side has one within tolerance: they meet in blocks of that width, each with its neighbours."""
+    width = max(1, tolerance)
+    mine = gold.select(*group, F.col("g").alias("p"), F.lit(1).alias("gold")).unionByName(local.select(*group, F.col("l").alias("p"), F.lit(0).alias("gold"))).withColumn("block", F.floor(F.col("p") / width))
+    others = mine.select(*group, F.col("p").alias("q"), (1 - F.col("gold")).alias("gold"), F.explode(F.array(*[F.col("block") + d for d in (-1, 0, 1)])).alias("block"))
+    matched = mine.join(others, [*group, "gold", "block"], "left").groupBy(*group, "gold", "p").agg(F.max(F.coalesce(F.abs(F.col("p") - F.col("q")) <= tolerance, F.lit(False))).alias("hit"))
+    count = lambda side, hit: F.count_if((F.col("gold") == side) & (F.col("hit") if hit else F.lit(True)))
+    rows = matched.groupBy(*group).agg(count(0, True).alias("hit_local"), count(0, False).alias("n_local"), count(1, True).alias("hit_gold"), count(1, False).alias("n_gold"))
+    ratio = lambda a, b: F.coalesce(F.col(a) / F.nullif(b, F.lit(0)), F.lit(0.0))
+    rows = rows.withColumn("p", ratio("hit_local", "n_local")).withColumn("r", ratio("hit_gold", "n_gold"))
+    f1 = F.coalesce(2 * F.col("p") * F.col("r") / F.nullif(F.col("p") + F.col("r"), F.lit(0.0)), F.lit(0.0))
+    return rows.select(*group, "hit_local", "n_local", "hit_gold", "n_gold", F.round("p", 4).alias("precision"), F.round("r", 4).alias("recall"), F.round(f1, 4).alias("f1"))
 
 
 def label_scores(rows: DataFrame, label: str, predicted: Column, gold: Column) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECES = "array<struct<text:string,char_start:int,char_end:int>>"
+from .textrows import text_rows
+
+PIECE = {"text": "string", "char_start": "integer", "char_end": "integer"}
 NEAR, SHIFT = 150, 0.4  # characters before the end that count as its surroundings; Jaccard similarity below which topics shift
 STOPS = ".!?"
 
@@ -31,11 +35,11 @@ def _cut(text: str, start: int, end: int, least: int, places: list[int], keys: l
     blank = text.rfind("\n\n", low, end)
     if blank >= 0:
         return blank + 2
-    stop = _last(text, STOPS, low + 1, end)
+    stop = _last(text, STOPS, low + 1, end + 1)  # the sign right behind the piece counts too
     if stop >= 0:
         return stop + 1
-    space = text.rfind(" ", start + 1, end)
-    return space + 1 if space > start else end
+    space = text.rfind(" ", low, end)
+    return space + 1 if space >= 0 else end
 
 
 def split(text: str | None, most: int = 2000, overlap: int = 300, entities: list[tuple[int, str]] | None = None) -> list[tuple[str, int, int]]:
@@ -61,9 +65,48 @@ def split(text: str | None, most: int = 2000, overlap: int = 300, entities: list
     return out
 
 
-def size_split(docs: DataFrame, key: str = "doc_id", most: int = 2000, overlap: int = 300) -> DataFrame:
+def size_split(docs: DataFrame, key: str | list[str] = "doc_id", most: int = 2000, overlap: int = 300) -> DataFrame:
     """key, idx, text, char_start, char_end. docs: key, text and, if there are any, entities (array of structs start, key)."""
-    held = "entities" in docs.columns
-    f = F.udf(lambda text, entities: split(text, most, overlap, [(e["start"], e["key"]) for e in entities or ()]), PIECES)
-    rows = docs.select(key, f("text", "entities" if held else F.lit(None).cast("array<struct<start:int,key:string>>")).alias("p"))
-    return rows.select(key, F.posexplode("p").alias("idx", "p")).select(key, "idx", "p.text", "p.char_start", "p.char_end")
+    if "entities" not in docs.columns:
+        docs = docs.withColumn("entities", F.lit(None).cast("array<struct<start:int,key:string>>"))
+
+    def pieces(text: str | None, entities: list[dict] | None) -> list[tuple[str, int, int]]:
+        return split(text, most, overlap, [(e["start"], e["key"]) for e in entities or ()])
+
+    return text_rows(docs, [key] if isinstance(key, str) else key, ["text", "entities"], pieces, PIECE)
+
+
+_AFTER_STOP = re.compile(r"(?<=[.!?])\s+")
+
+
+def paragraphs(text: str | None, target: int = 500) -> Iterator[tuple[str, int, int]]:
+    """(text, start, end) of pseudo-paragraphs: sentences joined by one space until they reach target characters.
+
+    A paragraph is looked for by its first 50 characters from the end of the one before; where they are not found, as they
+    span white space that the joining changed, it is taken to begin right there. Its end is its start and its length."""
+    text, begin, held, size = text or "", 0, [], 0
+
+    def placed() -> tuple[str, int, int]:
+        joined = " ".join(held)
+        at = text.find(joined[:50], begin)
+        at = at if at >= 0 else begin
+        return joined, at, at + len(joined)
+
+    for sentence in filter(None, map(str.strip, _AFTER_STOP.split(text))):
+        held.append(sentence)
+        size += len(sentence) + (size > 0)
+        if size >= target:
+            yield (done := placed())
+            begin, held, size = done[2], [], 0
+    if held:
+        yield placed()
+
+
+def anchored(text: str, pieces: Iterable[str], begin: int, back: int = 400) -> Iterator[tuple[str, int, int]]:
+    """(piece, start, end): pieces found again in the text that they come from, by a cursor that stays at most back characters behind the
+    end of the piece before. A piece is looked for by its first 50 characters; one that is not found begins at the cursor."""
+    for piece in pieces:
+        at = text.find(piece[:50], begin)
+        at = at if at >= 0 else begin
+        yield piece, at, at + len(piece)
+        begin = max(at, at + len(piece) - back)

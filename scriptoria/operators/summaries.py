@@ -18,6 +18,12 @@ def gist(text: Column, chars: int = 300) -> Column:
     return F.substring(F.array_min(lines)["line"], 1, chars)
 
 
+def with_gist(docs: DataFrame, keys: str | list[str], text: str) -> DataFrame:
+    """keys, text and gist: a summary for each row, made once (a generator's column is not put in the place of each use)."""
+    keys = [keys] if isinstance(keys, str) else keys
+    return docs.select(*keys, text, F.explode(F.array(gist(F.col(text)))).alias("gist"))
+
+
 def entity_string(words: Column) -> Column:
     """Words, sorted, as one string; a fixed phrase without any."""
     return F.coalesce(F.nullif(F.array_join(F.array_sort(words), ", "), F.lit("")), F.lit("Nessuna entità specifica"))

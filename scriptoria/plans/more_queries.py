@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
-from ..operators import builders as B
 from ..operators import chunks as H
 from ..operators import entities as E
 from ..operators import report as R
 from ..operators import summaries as M
 from ..sources import books as S
 from ..sources import sinks as K
-from .queries import _ENT, _GIST, _t
+from .queries import _ENT, _GIST, _names, _t
 from .registry import query
 
 
@@ -140,22 +141,20 @@ _KEPT = f"""k AS (SELECT doc_id, source, list_sort(list_distinct(list_transform(
 array_to_string(list_filter(k, lambda x: contains(s, x)), ',') AS survived, array_to_string(list_filter(k, lambda x: NOT contains(s, x)), ',') AS lost FROM k""")
 def retention_report(spark, sf_dir):
     """Which names of each text its summary still has, and which not."""
-    words = F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,}"), F.lit(0))
-    marks = F.transform(words, lambda w: F.struct(F.when(F.length(w) % 2 == 0, "PER").otherwise("LOC").alias("label"), w.alias("word")))
-    kept = E.retention_report(marks, M.gist(F.col("text")))
-    rows = _t(spark, sf_dir, "documents").select("doc_id", kept.alias("r"))
+    marks = F.transform(_names(), lambda w: F.struct(F.when(F.length(w) % 2 == 0, "PER").otherwise("LOC").alias("label"), w.alias("word")))
+    rows = M.with_gist(_t(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", E.retention_report(marks, F.col("gist")).alias("r"))
     return rows.select("doc_id", "r.retention_percent", "r.total_key_entities", F.array_join("r.survived", ",").alias("survived"), F.array_join("r.lost", ",").alias("lost"))
 
 
-@query(f"""WITH {_KEPT}, w AS (SELECT DISTINCT source, unnest(k) AS w FROM k), g AS (SELECT source, string_agg(s, chr(10) ORDER BY doc_id) AS s FROM (SELECT source, doc_id, s FROM k WHERE length(s) > 80) GROUP BY source)
-SELECT source, count(*) AS total_unique_entities, count(*) FILTER (WHERE contains(coalesce(s, ''), w)) AS found_in_global, round(count(*) FILTER (WHERE contains(coalesce(s, ''), w)) * 100.0 / count(*), 1) AS retention_percent FROM w LEFT JOIN g USING (source) GROUP BY source""")
+@query(f"""WITH {_KEPT}, b AS (SELECT source, doc_id % 40 AS part, arg_min(s, {{'n': -length(s), 'd': doc_id}}) AS s FROM k GROUP BY ALL), w AS (SELECT DISTINCT source, doc_id % 40 AS part, unnest(k) AS w FROM k)
+SELECT b.source, CAST(b.part AS BIGINT) AS part, count(w) AS total_unique_entities, count(*) FILTER (WHERE contains(s, w)) AS found_in_global, coalesce(round(count(*) FILTER (WHERE contains(s, w)) * 100.0 / nullif(count(w), 0), 1), 0.0) AS retention_percent
+FROM b LEFT JOIN w ON w.source = b.source AND w.part = b.part GROUP BY b.source, b.part""")
 def retention_global(spark, sf_dir):
-    """Names of a whole book that its summary has; here the book's summary joins the sections' that have more than 80 characters."""
-    docs = _t(spark, sf_dir, "documents")
-    words = docs.select("source", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,}"), F.lit(0))).alias("word")).withColumn("label", F.when(F.length("word") % 2 == 0, "PER").otherwise("LOC"))
-    held = F.array_sort(F.collect_list(F.struct("doc_id", M.gist(F.col("text")).alias("s"))))
-    summary = docs.where(F.length(M.gist(F.col("text"))) > 80).groupBy("source").agg(held.alias("h")).select("source", F.array_join(F.transform("h", lambda x: x["s"]), "\n").alias("summary"))
-    return E.retention_global(words, summary, "source")
+    """Names of a whole book that its summary has, books without names too. A source's texts make forty books; a book's summary is the longest of its texts'."""
+    docs = M.with_gist(_t(spark, sf_dir, "documents").withColumn("part", F.col("doc_id") % 40), ["doc_id", "source", "part"], "text")
+    words = docs.select("source", "part", F.explode(_names()).alias("word")).withColumn("label", F.when(F.length("word") % 2 == 0, "PER").otherwise("LOC"))
+    books = docs.groupBy("source", "part").agg(F.min_by("gist", F.struct(-F.length("gist"), "doc_id")).alias("summary"))
+    return E.retention_global(words, books, ["source", "part"])
 
 
 _HINTS = """l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), k AS (SELECT * FROM l WHERE trim(text) <> ''),
@@ -174,7 +173,7 @@ s AS (SELECT p.doc_id, p.kind, p.a AS chunk_a, p.b AS chunk_b, round(coalesce(do
 
 def _profile(spark, sf_dir):
     """Lines as chunks; a new section begins after each line whose length is a multiple of four."""
-    return R.coherence_pairs(_t(spark, sf_dir, "documents"), lambda lines: [sum(len(x) % 4 == 0 for x in lines[:i]) + 1 for i in range(len(lines))])
+    return R.coherence_pairs(_t(spark, sf_dir, "documents"), lambda lines: list(itertools.accumulate((len(x) % 4 == 0 for x in lines[:-1]), initial=1)))
 
 
 @query(f"{_PROFILE} SELECT doc_id, kind, chunk_a, chunk_b, similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY chunk_a) AS nth FROM s) WHERE kind = 'cross' OR nth <= 30")
@@ -191,14 +190,6 @@ def coherence_report(spark, sf_dir):
     return R.coherence_report(_profile(spark, sf_dir), "doc_id", 3)
 
 
-@query()
-def base_chunks(spark, sf_dir):
-    """Texts divided at shifts of entities, with the entities that each chunk holds."""
-    docs = _t(spark, sf_dir, "documents")
-    rows = B.base_chunks(docs, E.extract_spans(docs))
-    return rows.select("doc_id", "chunk_id", "text", "char_start", "char_end", "topic_hint", "num_entities", F.array_join("keys", ",").alias("keys"), "total_chunks")
-
-
 @query(f"""WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i, coalesce(text, '') AS t FROM conversations),
 b AS (SELECT conv_id, i, t, length(t) AS n, 0 AS batch FROM c WHERE i = 1 UNION ALL SELECT c.conv_id, c.i, c.t, CASE WHEN b.n + length(c.t) > 500 THEN length(c.t) ELSE b.n + length(c.t) END, b.batch + CAST(b.n + length(c.t) > 500 AS INT)
 FROM b JOIN c ON c.conv_id = b.conv_id AND c.i = b.i + 1), j AS (SELECT conv_id, batch, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM b GROUP BY conv_id, batch), s AS (SELECT conv_id, batch, {_GIST} AS s FROM j),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
@@ -12,7 +12,6 @@ from ..operators import entities as E
 from ..operators import packing as L
 from ..operators import reading as D
 from ..operators import report as R
-from ..operators import splitting as P
 from ..operators import summaries as M
 from ..operators import windows as N
 from ..sources import archive as A
@@ -30,6 +29,10 @@ def _map(spark: SparkSession, sf_dir: str, f, table: str = "documents", key: str
     return _t(spark, sf_dir, table).select(key, f(F.col("text")).alias("text"))
 
 
+def _names() -> Column:
+    return F.regexp_extract_all("text", F.lit(E.NAME), F.lit(0))
+
+
 _SYMBOLS = f"translate(text, '{C.SYMBOLS}', '')"
 _DICTIONARY = "text"
 for _a, _b in C.CORRECTIONS:
@@ -113,9 +116,9 @@ def apply_corrections(spark, sf_dir):
     return _map(spark, sf_dir, lambda t: C.apply_corrections(t, fixes))
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace('<think>' || role || '</think> ' || text, '(?is)<think>.*?</think>', '', 'g'), ' ') AS text FROM conversations")
+@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace('<think>' || role || '</think>' || chr(10) || chr(10) || text || chr(9), '(?is)<think>.*?</think>', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM conversations""")
 def strip_think(spark, sf_dir):
-    said = F.concat(F.lit("<think>"), F.col("role"), F.lit("</think> "), F.col("text"))
+    said = F.concat(F.lit("<think>"), F.col("role"), F.lit("</think>\n\n"), F.col("text"), F.lit("\t"))
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", C.strip_think(said).alias("text"))
 
 
@@ -177,11 +180,6 @@ def explicit_headings(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", H.is_heading(F.col("text")).alias("heading"))
 
 
-@query()
-def pseudo_paragraphs(spark, sf_dir):
-    return H.pseudo_paragraphs(_t(spark, sf_dir, "documents"))
-
-
 _COS = "SELECT vec_id, label, list_cosine_similarity(CAST(lag(embedding) OVER w AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS c FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)"
 
 
@@ -269,7 +267,9 @@ def section_islands(spark, sf_dir):
     return H.islands(_t(spark, sf_dir, "conversations"), ["conv_id"], "turn", F.col("role")).select("conv_id", "turn", "island")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS i, coalesce(length(text), 0) AS n FROM conversations),
+b AS (SELECT conv_id, i, n AS open, 0 AS batch FROM c WHERE i = 1 UNION ALL SELECT c.conv_id, c.i, CASE WHEN b.open + c.n > 2000 THEN c.n ELSE b.open + c.n END, b.batch + CAST(b.open + c.n > 2000 AS INT) FROM b JOIN c ON c.conv_id = b.conv_id AND c.i = b.i + 1)
+SELECT conv_id, string_agg(size, ',' ORDER BY batch) AS batches FROM (SELECT conv_id, batch, max(open) AS size FROM b GROUP BY conv_id, batch) GROUP BY conv_id""")
 def budget_batches(spark, sf_dir):
     return H.budget_batches(_t(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", 2000).withColumn("batches", F.array_join(F.transform("batches", lambda b: b.cast("string")), ","))
 
@@ -281,8 +281,7 @@ def macro_batches(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN len(k) = 0 THEN 100.0 ELSE round(len(list_filter(k, lambda x: contains(lower(s), x))) * 100.0 / len(k), 1) END AS retention FROM (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Z][a-z]{2,}'), lambda x: lower(x))) AS k, " + _GIST + " AS s FROM documents)")
 def retention_section(spark, sf_dir):
-    keys = F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,}"), F.lit(0))
-    return _t(spark, sf_dir, "documents").select("doc_id", E.retention(keys, M.gist(F.col("text"))).alias("retention"))
+    return M.with_gist(_t(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", E.retention(_names(), F.col("gist")).alias("retention"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -295,33 +294,35 @@ def latest_version(spark, sf_dir):
     return B.latest(_t(spark, sf_dir, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
-#: Boundaries of two reference texts, as judged and as found.
-_EMBED_GOLD = (0, 4, 13, 72, 115, 166, 218)
-_EMBED_LOCAL = (0, 2, 12, 13, 17, 20, 21, 72, 115, 124, 162, 166, 199, 200, 218, 237)
-_NER_GOLD = (0, 5, 8, 10, 19, 27, 32, 33, 39, 44, 46, 48)
-_NER_LOCAL = (0, 2, 3, 4, 5, 7, 8, 9, 10, 11, 16, 17, 19, 20, 21, 22, 23, 24, 25, 40, 41, 42, 46)
+_VECS = """v AS (SELECT vec_id // 100 AS book, vec_id, label, list_cosine_similarity(CAST(lag(embedding) OVER w AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS c, lag(label) OVER w AS p, count(*) OVER (PARTITION BY vec_id // 100) AS n FROM embeddings WINDOW w AS (PARTITION BY vec_id // 100 ORDER BY vec_id)),
+l AS (SELECT book, vec_id AS l FROM v WHERE c < 0.35 AND n >= 3), g AS (SELECT book, vec_id AS g FROM v WHERE p IS NOT NULL AND label <> p)"""
 
 
-def _prf(spark, gold, local, tolerance):
-    rows = lambda xs, n: spark.range(1).select(F.explode(F.array(*map(F.lit, xs))).alias(n))
-    return R.boundary_scores(rows(gold, "g"), rows(local, "l"), tolerance)
+def _prf_sql(tolerance: int) -> str:
+    return f"""WITH {_VECS}, c AS (SELECT book, count(l) AS n_local, count(l) FILTER (WHERE EXISTS (SELECT 1 FROM g WHERE g.book = l.book AND abs(l - g) <= {tolerance})) AS hit_local FROM l GROUP BY book),
+    d AS (SELECT book, count(g) AS n_gold, count(g) FILTER (WHERE EXISTS (SELECT 1 FROM l WHERE g.book = l.book AND abs(l - g) <= {tolerance})) AS hit_gold FROM g GROUP BY book),
+    e AS (SELECT book, coalesce(hit_local, 0) AS hit_local, coalesce(n_local, 0) AS n_local, coalesce(hit_gold, 0) AS hit_gold, coalesce(n_gold, 0) AS n_gold FROM c FULL JOIN d USING (book)),
+    f AS (SELECT *, CASE WHEN n_local > 0 THEN hit_local / n_local ELSE 0 END AS p, CASE WHEN n_gold > 0 THEN hit_gold / n_gold ELSE 0 END AS r FROM e)
+    SELECT book, hit_local, n_local, hit_gold, n_gold, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1 FROM f"""
 
 
-def _prf_sql(gold, local, tolerance) -> str:
-    values = lambda xs: ", ".join(f"({x})" for x in xs)
-    return f"""WITH g AS (SELECT * FROM (VALUES {values(gold)}) t(g)), l AS (SELECT * FROM (VALUES {values(local)}) t(l)),
-    c AS (SELECT (SELECT count(*) FROM l WHERE EXISTS (SELECT 1 FROM g WHERE abs(l - g) <= {tolerance})) AS hit_local, (SELECT count(*) FROM l) AS n_local, (SELECT count(*) FROM g WHERE EXISTS (SELECT 1 FROM l WHERE abs(l - g) <= {tolerance})) AS hit_gold, (SELECT count(*) FROM g) AS n_gold)
-    SELECT *, round(hit_local / n_local, 4) AS precision, round(hit_gold / n_gold, 4) AS recall, round(2 * (hit_local / n_local) * (hit_gold / n_gold) / (hit_local / n_local + hit_gold / n_gold), 4) AS f1 FROM c"""
+def _boundary_prf(spark, sf_dir, tolerance):
+    """Each hundred vectors is a book: boundaries by similarity against those at which the label changes."""
+    rows = _t(spark, sf_dir, "embeddings").withColumn("book", F.floor(F.col("vec_id") / 100))
+    found = H.embedding_boundaries(rows, ["book"], "vec_id").where("boundary").select("book", F.col("vec_id").alias("l"))
+    changed = F.lag("label").over(Window.partitionBy("book").orderBy("vec_id")) != F.col("label")
+    gold = rows.select("book", "vec_id", changed.alias("changed")).where("changed").select("book", F.col("vec_id").alias("g"))
+    return R.boundary_scores(gold, found, tolerance, ["book"])
 
 
-@query(_prf_sql(_EMBED_GOLD, _EMBED_LOCAL, 2))
+@query(_prf_sql(2))
 def boundary_prf_embed(spark, sf_dir):
-    return _prf(spark, _EMBED_GOLD, _EMBED_LOCAL, 2)
+    return _boundary_prf(spark, sf_dir, 2)
 
 
-@query(_prf_sql(_NER_GOLD, _NER_LOCAL, 1))
+@query(_prf_sql(1))
 def boundary_prf_ner(spark, sf_dir):
-    return _prf(spark, _NER_GOLD, _NER_LOCAL, 1)
+    return _boundary_prf(spark, sf_dir, 1)
 
 
 @query("""WITH c AS (SELECT source, grouping(source) = 1 AS is_total, sum(CAST(n_chars > 1000 AND quality = 1 AS INT)) AS tp, sum(CAST(n_chars > 1000 AND quality <> 1 AS INT)) AS fp, sum(CAST(n_chars <= 1000 AND quality = 1 AS INT)) AS fn FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (source))
@@ -406,11 +407,6 @@ def adjacent_jaccard(spark, sf_dir):
     return rows.select("source", "doc_id", F.when(both == 0, 1.0).otherwise(F.round(F.size(F.array_intersect("k", "p")) / F.greatest(both, F.lit(1)), 6)).alias("jaccard"))
 
 
-@query()
-def size_split(spark, sf_dir):
-    return P.size_split(_t(spark, sf_dir, "documents"))
-
-
 @query("SELECT conv_id, role, num_chunks, total_chars, " + _GIST + " AS summary FROM (SELECT conv_id, role, count(*) AS num_chunks, CAST(sum(length(text)) AS BIGINT) AS total_chars, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id, role)")
 def section_summaries(spark, sf_dir):
     return M.sections(_t(spark, sf_dir, "conversations"), "conv_id", "role", "turn")
@@ -440,8 +436,7 @@ def cross_pairs(spark, sf_dir):
 
 @query("SELECT source, round(avg(r), 1) AS avg_retention FROM (SELECT source, CASE WHEN len(k) = 0 THEN 100.0 ELSE round(len(list_filter(k, lambda x: contains(lower(s), x))) * 100.0 / len(k), 1) END AS r FROM (SELECT source, list_distinct(list_transform(regexp_extract_all(text, '[A-Z][a-z]{2,}'), lambda x: lower(x))) AS k, " + _GIST + " AS s FROM documents)) GROUP BY source")
 def retention_average(spark, sf_dir):
-    keys = F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,}"), F.lit(0))
-    rows = _t(spark, sf_dir, "documents").select("source", E.retention(keys, M.gist(F.col("text"))).alias("r"))
+    rows = M.with_gist(_t(spark, sf_dir, "documents"), "source", "text").select("source", E.retention(_names(), F.col("gist")).alias("r"))
     return rows.groupBy("source").agg(F.round(F.avg("r"), 1).alias("avg_retention"))
 
 
@@ -456,18 +451,6 @@ def text_preview(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars"), words.alias("words"), F.substring("text", 1, 50000).alias("preview"))
 
 
-_PAIR = """WITH e AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}'))) AS w FROM documents), f AS (SELECT doc_id, w, count(*) AS n FROM e GROUP BY doc_id, w), t AS (SELECT doc_id, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS k FROM f) WHERE k <= 5)"""
-
-
-@query(f"{_PAIR} SELECT a.doc_id, a.w AS a, b.w AS b FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.w < b.w AND (contains(b.w, a.w) OR contains(a.w, b.w))")
-def fuzzy_candidates(spark, sf_dir):
-    """Pairs that match loosely among each document's five most frequent words (a top-k report)."""
-    rows = E.extract(_t(spark, sf_dir, "documents")).groupBy("doc_id", E.normal_word(F.col("word")).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    top = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "w"))).where("k <= 5").select("doc_id", "w")
-    a, b = top.withColumnRenamed("w", "a"), top.withColumnRenamed("w", "b")
-    return a.join(b, "doc_id").where((F.col("a") < F.col("b")) & E.fuzzy_match(F.col("a"), F.col("b"))).select("doc_id", "a", "b")
-
-
 @query("""WITH t AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}'))) AS w FROM documents))
 SELECT a.doc_id, a.w AS a, b.w AS b FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.w < b.w AND (contains(b.w, a.w) OR contains(a.w, b.w))""")
 def fuzzy_pairs(spark, sf_dir):

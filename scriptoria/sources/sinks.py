@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import strip
+
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Chunks as Parquet, by method and book."""
@@ -22,7 +24,7 @@ RULE = "=" * 60
 
 def joined_summaries(sections: DataFrame, group: str, order: str) -> DataFrame:
     """group, text, sections: a book's summaries that are not blank, in order, under their topics; as one text and as JSON."""
-    rows = sections.withColumn("summary", F.trim("summary")).where("summary <> ''")
+    rows = sections.withColumn("summary", strip(F.col("summary"))).where("summary <> ''")
     held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("section_idx"), F.coalesce("topic_hint", F.concat(F.lit("Sezione "), F.col(order).cast("string"))).alias("topic_hint"), "summary")))
     rows = rows.groupBy(group).agg(held.alias("s"))
     said = F.transform("s", lambda x: F.concat(F.lit("=== "), x["topic_hint"], F.lit(" ===\n\n"), x["summary"]))
@@ -31,7 +33,7 @@ def joined_summaries(sections: DataFrame, group: str, order: str) -> DataFrame:
 
 def synopsis(books: DataFrame) -> DataFrame:
     """title, json, text of books that have a summary. books: title, author, model, method, created_at, summary. The text's paragraphs are wrapped at 100 characters."""
-    rows = books.withColumn("testo", F.trim("summary")).where("testo <> ''")
+    rows = books.withColumn("testo", strip(F.col("summary"))).where("testo <> ''")
     words = F.size(F.filter(F.split("testo", r"\s+"), lambda w: w != ""))
     known = F.struct(
         F.col("title").alias("titolo"), F.coalesce("author", F.lit("N/D")).alias("autore"), F.coalesce("model", F.lit("N/D")).alias("modello"), F.coalesce("method", F.lit("N/D")).alias("metodo_chunking"),
