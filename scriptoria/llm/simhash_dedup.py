@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_words, cut
-from .components import star_components
+from .components import link, star_components
 
 BITS, BLOCK, SPLIT = 64, 16, 6
 HOT = 20_000
@@ -90,7 +90,7 @@ def trie_join(values: np.ndarray, frontier: tuple[np.ndarray, ...], depth: int,
                 v = np.concatenate([v, np.full(ae - a - 1, a), np.full(be - b, a)])
             alo, ahi, blo, bhi, diff, same = (x[~full] for x in (alo, ahi, blo, bhi, diff, same))
         if len(u):
-            _link(root, u, v)
+            link(root, u, v)
             changes = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
         if not len(alo):
             continue
@@ -106,19 +106,6 @@ def trie_join(values: np.ndarray, frontier: tuple[np.ndarray, ...], depth: int,
     return root
 
 
-def _link(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
-    """Joins the groups of u[i] and v[i]; root keeps pointing straight at the least member."""
-    while True:
-        a, b = root[u], root[v]
-        apart = a != b
-        if not apart.any():
-            return
-        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while not np.array_equal(root, further := root[root]):
-            root[:] = further
-
-
 def fingerprint_links(fps: DataFrame, budget: int = 3, hot: int = HOT) -> DataFrame:
     """u, v (signed fingerprints): links within the budget, or paths of such links, that connect all that are linked.
 
@@ -186,7 +173,7 @@ def _join_run(key: np.ndarray, values: np.ndarray, budget: int) -> np.ndarray:
             pairs = (lo, hi, lo, hi, zero)
         found = trie_join(values, pairs, depth, budget)
         at = np.flatnonzero(found != np.arange(len(found)))
-        _link(root, at, found[at])
+        link(root, at, found[at])
     return root
 
 
