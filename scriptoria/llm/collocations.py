@@ -30,7 +30,7 @@ from .common import cut
 
 DEPTH, LEAST, TOP, SCALE = 4, 30, 2000, 2_000_000
 #: Bytes of text of a shard; parts of a text that are longer are cut.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 2_000_000
 #: A part is hot, and broadcast, if it makes up one of so many equal shares of all words; salts of the ranking; bits for each pair of the bitmap, and most bits.
 SHARES, SALTS, PAIR_BITS, MOST_BITS = 1000, 16, 16, 1 << 29
 
