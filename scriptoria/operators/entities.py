@@ -147,7 +147,7 @@ def retention(keys: Column, summary: Column, none: float = 100.0) -> Column:
 def clean_span(word: Column) -> Column:
     """White space, then punctuation, off both ends; runs of white space to one space."""
     for edge in (r"(?U)\s+", r"['’\"“”‘()\[\]{}.,;:!?\-]+"):
-        word = F.regexp_replace(word, f"^{edge}|{edge}$", "")
+        word = F.regexp_replace(word, f"^{edge}|{edge}\\z", "")
     return F.regexp_replace(word, r"(?U)\s+", " ")
 
 

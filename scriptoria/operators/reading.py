@@ -22,11 +22,11 @@ def _between(text: Column, start: Column, end: Column) -> Column:
 
 def snap(text: Column, start: Column, end: Column) -> Column:
     """start, end moved to the edges of words: each side grows by up to two characters, or else gives up to two that part words."""
-    grown = _run(_between(text, F.greatest(start - REACH, F.lit(0)), start), f"[^{PARTS}]*$")
+    grown = _run(_between(text, F.greatest(start - REACH, F.lit(0)), start), f"[^{PARTS}]*\\z")
     shed = _run(_between(text, start, F.least(start + REACH, end)), f"^[{PARTS}]*")
     begin = F.when(grown > 0, start - grown).otherwise(start + shed)
     more = _run(_between(text, end, end + REACH), f"^[^{PARTS}]*")
-    less = _run(_between(text, F.greatest(begin, end - REACH), end), f"[{PARTS}]*$")
+    less = _run(_between(text, F.greatest(begin, end - REACH), end), f"[{PARTS}]*\\z")
     return F.struct(begin.alias("start"), F.when(more > 0, end + more).otherwise(end - less).alias("end"))
 
 
@@ -34,7 +34,7 @@ def trim_span(text: Column, start: Column, end: Column) -> Column:
     """start, end without characters that part words at either side."""
     span = _between(text, start, end)
     begin = start + _run(span, f"^[{PARTS}]*")
-    return F.struct(begin.alias("start"), F.greatest(begin, end - _run(span, f"[{PARTS}]*$")).alias("end"))
+    return F.struct(begin.alias("start"), F.greatest(begin, end - _run(span, f"[{PARTS}]*\\z")).alias("end"))
 
 
 def escape_html(text: Column) -> Column:

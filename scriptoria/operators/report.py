@@ -20,20 +20,45 @@ STOPWORDS = (
 
 
 _WORD = re.compile(r"[^\W]+")
-_LATIN = re.compile(r"[a-zà-ÿ]{3,}")
+_LATIN = re.compile(r"[a-zß-ÿ]{3,}")
 _LEFT_OUT = frozenset(STOPWORDS)
 Weights = list[dict[str, float]]
 
 
-def line_weights(text: str | None, least: int = 1) -> tuple[list[str], Weights, Weights]:
-    """A text's lines that are not blank, and of each its words' tf and tf * ln(N / df); nothing if there are fewer than least lines."""
-    lines = [x for x in (text or "").split("\n") if x.strip(" ")]
-    if len(lines) < least:
-        return [], [], []
-    counts = [Counter(w for w in _WORD.findall(x.lower()) if _LATIN.fullmatch(w) and w not in _LEFT_OUT) for x in lines]
+def text_weights_of(texts: list[str]) -> tuple[Weights, Weights]:
+    """Of each text its words' tf, and tf * ln(N / df) among the texts; words of all of them have none."""
+    counts = [Counter(w for w in _WORD.findall(x.lower()) if _LATIN.fullmatch(w) and w not in _LEFT_OUT) for x in texts]
     df = Counter(w for c in counts for w in c)
     tf = [{w: n / all_words for w, n in c.items()} for c in counts for all_words in (c.total(),)]
-    return lines, tf, [{w: v * math.log(len(lines) / df[w]) for w, v in t.items() if df[w] < len(lines)} for t in tf]
+    return tf, [{w: v * math.log(len(texts) / df[w]) for w, v in t.items() if df[w] < len(texts)} for t in tf]
+
+
+def line_weights(text: str | None, least: int = 1) -> tuple[list[str], Weights, Weights]:
+    """A text's lines that are not blank, and their weights; nothing if there are fewer than least lines."""
+    lines = [x for x in (text or "").split("\n") if x.strip(" ")]
+    return (lines, *text_weights_of(lines)) if len(lines) >= least else ([], [], [])
+
+
+def similar_pairs(w: Weights, number: list[int], most: int) -> list[tuple[str, int, int, float]]:
+    """(kind, a, b, similarity), with places from 0, of chunks with weights w in sections of these numbers.
+
+    Neighbours are intra (of one section) or boundary pairs; cross pairs are the first chunk of each section and of the first one whose
+    number is larger by max(3, a third of the sections), most in all."""
+    out = [("intra" if number[i] == number[i + 1] else "boundary", i, i + 1, weights_cosine(w[i], w[i + 1])) for i in range(len(w) - 1)]
+    first: dict[int, int] = {}
+    for i, s in enumerate(number):
+        first.setdefault(s, i)
+    known = sorted(first)
+    gap, far, found = max(3, len(known) // 3), 0, 0
+    for s in known:
+        while far < len(known) and known[far] - s < gap:
+            far += 1
+        if far == len(known) or found == most:
+            break
+        a, b = first[s], first[known[far]]
+        out.append(("cross", a, b, weights_cosine(w[a], w[b])))
+        found += 1
+    return out
 
 
 def weights_cosine(a: dict[str, float], b: dict[str, float]) -> float:
@@ -89,22 +114,7 @@ def coherence_pairs(docs: DataFrame, sections: Callable[[list[str]], list[int]],
 
     def rows(text: str | None) -> list[tuple]:
         lines, _, w = line_weights(text, 3)
-        number = sections(lines)
-        out = [("intra" if number[i] == number[i + 1] else "boundary", i + 1, i + 2, weights_cosine(w[i], w[i + 1])) for i in range(len(w) - 1)]
-        first: dict[int, int] = {}
-        for i, s in enumerate(number):
-            first.setdefault(s, i)
-        known = sorted(first)
-        gap, far = max(3, len(known) // 3), 0
-        cross = []
-        for s in known:
-            while far < len(known) and known[far] - s < gap:
-                far += 1
-            if far == len(known) or len(cross) == most:
-                break
-            a, b = first[s], first[known[far]]
-            cross.append(("cross", a + 1, b + 1, weights_cosine(w[a], w[b])))
-        return out + cross
+        return [(kind, a + 1, b + 1, v) for kind, a, b, v in similar_pairs(w, sections(lines), most)]
 
     return _per_text(docs, rows, [("kind", "string", pa.string()), ("chunk_a", "long", pa.int64()), ("chunk_b", "long", pa.int64()), ("similarity", "double", pa.float64())])
 
@@ -112,7 +122,8 @@ def coherence_pairs(docs: DataFrame, sections: Callable[[list[str]], list[int]],
 def coherence_report(pairs: DataFrame, key: str, digits: int = 4) -> DataFrame:
     """key; of intra, boundary and cross pairs the average similarity (null without any) and number; delta: intra less boundary."""
     kinds = ("intra", "boundary", "cross")
-    mean = [F.round(F.avg(F.when(F.col("kind") == k, F.col("similarity"))), digits).alias(f"avg_{k}") for k in kinds]
+    exact = F.col("similarity").cast("decimal(18, 10)")  # so that halves are rounded up, whatever order they are added in
+    mean = [F.round(F.avg(F.when(F.col("kind") == k, exact)), digits).cast("double").alias(f"avg_{k}") for k in kinds]
     some = pairs.groupBy(key).agg(*mean, *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds])
     return some.withColumn("delta", F.round(F.col("avg_intra") - F.col("avg_boundary"), digits))
 

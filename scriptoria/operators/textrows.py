@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 #: Input rows that are held as Python values at a time; rows handed on at a time.
 ROWS, OUT = 32, 5_000
-KINDS = {"string": pa.string(), "integer": pa.int32(), "double": pa.float64()}
+KINDS = {"long": pa.int64(), "string": pa.string(), "integer": pa.int32(), "double": pa.float64()}
 
 
-def text_rows(rows: DataFrame, keys: list[str], columns: list[str], f: Callable[..., Iterable[tuple]], made: dict[str, str]) -> DataFrame:
-    """keys, idx (from 0 in each row) and the columns made (name: string, integer or double) of what f yields for a row's columns."""
+def text_rows(rows: DataFrame, keys: list[str], columns: list[str], f: Callable[..., Iterable[tuple]], made: dict[str, str], nth: str = "idx") -> DataFrame:
+    """keys, nth (from 0 in each row) and the columns made (name: string, integer, long or double) of what f yields for a row's columns."""
     width = len(keys)
-    schema = rows.select(*keys).schema.add("idx", "integer")
+    schema = rows.select(*keys).schema.add(nth, "integer")
     for name, kind in made.items():
         schema = schema.add(name, kind)
     names = schema.fieldNames()

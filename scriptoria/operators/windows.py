@@ -6,9 +6,10 @@ import re
 from bisect import bisect_right
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-WINDOWS = "array<struct<section:int,heading:string,start:int,end:int,text:string>>"
+from .textrows import text_rows
+
+WINDOW = {"section": "integer", "heading": "string", "start": "integer", "end": "integer", "text": "string"}
 #: Lines that open a section, and what ends a sentence.
 HEADING = re.compile(
     r"^(?:capitolo|canto|atto|scena|libro|parte|sezione|sonetto|ode|canzo?ne)\b\s*[\w\-–—\.]*(?:\s*[ivxlcdm0-9]+)?\s*$",
@@ -89,5 +90,4 @@ def windows(text: str | None, least: int = 500, most: int = 2000, overlap: int =
 
 def entity_windows(docs: DataFrame, key: str = "doc_id", least: int = 500, most: int = 2000, overlap: int = 300) -> DataFrame:
     """key, idx, section, heading, start, end, text of every window. docs: key, text."""
-    f = F.udf(lambda text: windows(text, least, most, overlap), WINDOWS)
-    return docs.select(key, F.posexplode(f("text")).alias("idx", "w")).select(key, "idx", "w.*")
+    return text_rows(docs, [key], ["text"], lambda text: windows(text, least, most, overlap), WINDOW)

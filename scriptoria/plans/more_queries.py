@@ -161,7 +161,7 @@ _HINTS = """l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS text F
 r AS (SELECT doc_id, row_number() OVER w AS idx, count(*) OVER (PARTITION BY doc_id) AS of_, text, 1 + coalesce(sum(CAST(length(text) % 4 = 0 AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sec FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)), r3 AS (SELECT * FROM r WHERE of_ >= 3)"""
 _STOP = ", ".join(f"'{w}'" for w in R.STOPWORDS)
 _PROFILE = f"""WITH {_HINTS},
-w AS (SELECT doc_id, idx, word FROM (SELECT doc_id, idx, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS word FROM r3) WHERE regexp_full_match(word, '[a-zà-ÿ]{{3,}}') AND word NOT IN ({_STOP})),
+w AS (SELECT doc_id, idx, word FROM (SELECT doc_id, idx, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS word FROM r3) WHERE regexp_full_match(word, '[a-zß-ÿ]{{3,}}') AND word NOT IN ({_STOP})),
 tf AS (SELECT doc_id, idx, word, count(*) / sum(count(*)) OVER (PARTITION BY doc_id, idx) AS tf FROM w GROUP BY doc_id, idx, word), n AS (SELECT doc_id, count(*) AS n FROM r3 GROUP BY doc_id), f AS (SELECT doc_id, word, count(*) AS df FROM tf GROUP BY doc_id, word),
 v AS (SELECT doc_id, idx, word, tf * ln(n / df) AS w FROM tf JOIN f USING (doc_id, word) JOIN n USING (doc_id) WHERE df < n), m AS (SELECT doc_id, idx, sqrt(sum(w * w)) AS norm FROM v GROUP BY doc_id, idx),
 q AS (SELECT doc_id, sec, min(idx) AS idx FROM r3 GROUP BY doc_id, sec), g AS (SELECT doc_id, greatest(3, count(*) // 3) AS gap FROM q GROUP BY doc_id),
@@ -171,6 +171,12 @@ dots AS (SELECT p.doc_id, p.a, p.b, p.kind, sum(x.w * y.w) AS dot FROM p JOIN v
 s AS (SELECT p.doc_id, p.kind, p.a AS chunk_a, p.b AS chunk_b, round(coalesce(dot / nullif(x.norm * y.norm, 0), 0), 4) AS similarity FROM p LEFT JOIN dots USING (doc_id, a, b, kind) LEFT JOIN m x ON x.doc_id = p.doc_id AND x.idx = p.a LEFT JOIN m y ON y.doc_id = p.doc_id AND y.idx = p.b)"""
 
 
+def _mean(kind: str) -> str:
+    """SQL for the average of four-digit similarities of a kind to four digits, halves up."""
+    some = f"FILTER (WHERE kind = '{kind}')"
+    return f"(2 * CAST(round(sum(similarity) {some} * 10000) AS BIGINT) + count(*) {some}) // nullif(2 * count(*) {some}, 0) / 10000"
+
+
 def _profile(spark, sf_dir):
     """Lines as chunks; a new section begins after each line whose length is a multiple of four."""
     return R.coherence_pairs(_t(spark, sf_dir, "documents"), lambda lines: list(itertools.accumulate((len(x) % 4 == 0 for x in lines[:-1]), initial=1)))
@@ -183,11 +189,11 @@ def coherence_pairs(spark, sf_dir):
     return _profile(spark, sf_dir).withColumn("nth", F.row_number().over(w)).where("kind = 'cross' OR nth <= 30").drop("nth")
 
 
-@query(f"""{_PROFILE}, t AS (SELECT doc_id, round(avg(similarity) FILTER (WHERE kind = 'intra'), 3) AS avg_intra, round(avg(similarity) FILTER (WHERE kind = 'boundary'), 3) AS avg_boundary, round(avg(similarity) FILTER (WHERE kind = 'cross'), 3) AS avg_cross,
-count(*) FILTER (WHERE kind = 'intra') AS n_intra, count(*) FILTER (WHERE kind = 'boundary') AS n_boundary, count(*) FILTER (WHERE kind = 'cross') AS n_cross FROM s GROUP BY doc_id) SELECT *, round(avg_intra - avg_boundary, 3) AS delta FROM t""")
+@query(f"""{_PROFILE}, t AS (SELECT doc_id, {_mean('intra')} AS avg_intra, {_mean('boundary')} AS avg_boundary, {_mean('cross')} AS avg_cross,
+count(*) FILTER (WHERE kind = 'intra') AS n_intra, count(*) FILTER (WHERE kind = 'boundary') AS n_boundary, count(*) FILTER (WHERE kind = 'cross') AS n_cross FROM s GROUP BY doc_id) SELECT *, round(avg_intra - avg_boundary, 4) AS delta FROM t""")
 def coherence_report(spark, sf_dir):
     """One row for each book: average similarity within, across and far from section borders, and how sharp the borders are."""
-    return R.coherence_report(_profile(spark, sf_dir), "doc_id", 3)
+    return R.coherence_report(_profile(spark, sf_dir), "doc_id")
 
 
 @query(f"""WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i, coalesce(text, '') AS t FROM conversations),

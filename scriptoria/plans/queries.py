@@ -13,7 +13,6 @@ from ..operators import packing as L
 from ..operators import reading as D
 from ..operators import report as R
 from ..operators import summaries as M
-from ..operators import windows as N
 from ..sources import archive as A
 from ..sources import books as B
 from ..sources import sinks as K
@@ -136,7 +135,7 @@ def strip_markdown(spark, sf_dir):
 _GIST = "substr(list_sort(list_transform(string_split(text, chr(10)), lambda l, i: {'n': -length(l), 'i': i, 'l': l}))[1].l, 1, 300)"
 _LINES = "c AS (SELECT doc_id, unnest(range(len(l))) AS idx, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), k AS (SELECT * FROM c WHERE trim(text) <> '')"
 _STOP = ", ".join(f"'{w}'" for w in R.STOPWORDS)
-_TERMS = "w AS (SELECT doc_id, idx, word FROM (SELECT doc_id, idx, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+')) AS word FROM %s) WHERE regexp_full_match(word, '[a-zà-ÿ]{3,}') AND word NOT IN (" + _STOP + "))"
+_TERMS = "w AS (SELECT doc_id, idx, word FROM (SELECT doc_id, idx, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+')) AS word FROM %s) WHERE regexp_full_match(word, '[a-zß-ÿ]{3,}') AND word NOT IN (" + _STOP + "))"
 _TF = "tf AS (SELECT doc_id, idx, word, count(*) / sum(count(*)) OVER (PARTITION BY doc_id, idx) AS tf FROM w GROUP BY doc_id, idx, word)"
 
 
@@ -476,11 +475,6 @@ def ner_chapters(spark, sf_dir):
     return H.chapters(rows, ["conv_id"], "turn", "keys").select("conv_id", "section", "first", "last", "chapter")
 
 
-@query()
-def entity_windows(spark, sf_dir):
-    return N.entity_windows(_t(spark, sf_dir, "documents"))
-
-
 @query("""SELECT conv_id, turn, replace(CASE WHEN len(w) = 0 THEN t ELSE regexp_replace(t, '(' || array_to_string(list_transform(list_reverse_sort(list_transform(w, lambda x: {'n': length(x), 'w': x})), lambda x: x.w), '|') || ')', '<span class="hl-per" title="PER">\\1</span>', 'g') END, chr(10), '<br>') AS html
 FROM (SELECT conv_id, turn, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{2,}')) AS w FROM conversations)""")
 def entities_highlight(spark, sf_dir):
@@ -489,13 +483,6 @@ def entities_highlight(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", D.highlight(F.col("text"), marks).alias("html"))
 
 
-@query()
-def entities_snap(spark, sf_dir):
-    """Spans of five characters, one for every twenty, moved to the edges of words."""
-    rows = _t(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(20))).alias("at"))
-    return rows.withColumn("s", D.snap(F.col("text"), F.col("at"), F.least(F.col("at") + 5, F.length("text")))).select("doc_id", "at", "s.start", "s.end")
-
-
 @query()
 def entities_one_to_one(spark, sf_dir):
     """Capitalised words of each turn against those of the next."""
