@@ -42,3 +42,17 @@ def text_rows(rows: DataFrame, keys: list[str], columns: list[str], f: Callable[
                     yield ready(part, at, out)
 
     return rows.select(*keys, *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)]).mapInArrow(run, schema)
+
+
+def rows_or_error(rows: DataFrame, keys: list[str], columns: list[str], f: Callable[..., Iterable[tuple]], made: dict[str, str]) -> DataFrame:
+    """text_rows' columns and error: a row whose f fails gives one row with its message and no result, instead of ending the job.
+
+    What f yielded before it failed is dropped."""
+
+    def guarded(*values: object) -> Iterable[tuple]:
+        try:
+            return [(*x, None) for x in f(*values)]
+        except Exception as e:  # whatever a row's content brings about is that row's result
+            return [(*[None] * len(made), f"{type(e).__name__}: {e}")]
+
+    return text_rows(rows, keys, columns, guarded, {**made, "error": "string"})
