@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import builders as B
 from ..operators import chunks as H
+from ..operators import embedding as M
 from ..operators import entities as E
 from ..operators import splitting as P
 from .queries import _SPANS, _t
@@ -162,3 +163,10 @@ def ner_section_chunks(spark, sf_dir):
 def ner_section_chapters(spark, sf_dir):
     rows = B.chapter_metadata(_ner_chunks(spark, sf_dir))
     return rows.withColumn("section_ids", F.array_join(F.transform("section_ids", lambda x: x.cast("string")), ","))
+
+
+@query()
+def paragraph_sections(spark, sf_dir):
+    """Sections of each text: a new one begins with a paragraph whose embedding is unlike the one before (in made-up prose few are below the usual 0.35)."""
+    rows = M.with_embeddings(H.pseudo_paragraphs(_t(spark, sf_dir, "documents")))
+    return H.embedding_boundaries(rows, ["doc_id"], "idx", 0.8).select("doc_id", "idx", F.round("sim", 4).alias("sim"), "boundary", "section")

@@ -83,3 +83,32 @@ def test_pseudo_paragraphs_of_odd_rows(spark):
     got = sorted(((r.doc_id or 0), r.idx, r.char_start, r.char_end) for r in H.pseudo_paragraphs(docs).collect())
     assert got == [(0, 0, 0, 4), (3, 0, 0, 500), (3, 1, 501, 1001), (3, 2, 1002, 1199)]
     assert H.pseudo_paragraphs(docs.limit(0)).count() == 0
+
+
+def test_embeddings_match_brute_force(spark):
+    """Vectors against a loop over trigrams; like texts are alike; sections begin where texts change."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    from scriptoria.operators import embedding as M
+
+    texts = ["Il mare e il vento", "Il vento e il mare", "ZZ qq 99", "", None, "à", "x" * 5000]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts * 20)], "doc_id long, idx int, text string").repartition(3)
+    got = {r.idx: r.embedding for r in M.with_embeddings(rows).collect()}
+    signs = np.random.default_rng(M.SEED).integers(0, 2, (M.BUCKETS, M.SIZE)) * 2 - 1
+    for i, t in enumerate(texts):
+        low = f" {(t or '').lower()} "
+        counts = Counter((ord(a) * 961 + ord(b) * 31 + ord(c)) % M.BUCKETS for a, b, c in zip(low, low[1:], low[2:], strict=False))
+        want = [sum(round(math.sqrt(n) * 1024) / 1024 * signs[b][k] for b, n in counts.items()) for k in range(M.SIZE)]
+        assert np.allclose(got[i], want, atol=1e-4) and all(got[i] == got[j] for j in range(i, len(texts) * 20, len(texts)))
+
+    def cosine(a, b):
+        return np.dot(got[a], got[b]) / np.linalg.norm(got[a]) / np.linalg.norm(got[b])
+
+    assert cosine(0, 1) > 0.7 > cosine(0, 2) and not any(got[3])
+    book = spark.createDataFrame([(1, i, t) for i, t in enumerate([texts[0], texts[1], texts[2], texts[2], texts[0]])], "doc_id long, idx int, text string")
+    found = H.embedding_boundaries(M.with_embeddings(book), ["doc_id"], "idx").orderBy("idx").collect()
+    assert [r.boundary for r in found] == [False, False, True, False, True]
+    assert M.with_embeddings(book.limit(0)).count() == 0
