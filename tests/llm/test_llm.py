@@ -177,6 +177,7 @@ def test_near_copies_match_brute_force(spark, monkeypatch):
     assert any((simhash_dedup.fingerprint(texts[i]) ^ simhash_dedup.fingerprint(texts[j])).bit_count() > 3 for i, j in near)  # what three bits lose
     for many in (64, 1):  # large buckets are divided by a second band
         monkeypatch.setattr(near_copies, "MANY", many)
+        monkeypatch.setattr(near_copies, "BLOCK_ROWS", 20_000 if many > 1 else 3)
         kept = near_copies.keep_one(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
         assert sorted(r.doc_id for r in kept) == sorted(set(root))
 
