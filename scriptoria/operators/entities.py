@@ -58,10 +58,16 @@ def is_valid(label: Column, word: Column, score: Column) -> Column:
     )
 
 
+def _one_by(pick, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of the rows of each key the one that pick (min_by or max_by) takes by order: an aggregation, without a sort of a key's rows."""
+    others = [c for c in rows.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(pick(F.struct(*others), F.struct(order)).alias("_row"))
+    return one.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns])
+
+
 def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of rows of one key the first; all keys in the order in which they come first."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return _one_by(F.min_by, rows, keys, order)
 
 
 def word_counts(spans: DataFrame) -> DataFrame:
@@ -77,8 +83,8 @@ def valid_gold(samples: DataFrame, json: str, least: int = 50) -> DataFrame:
 
 
 def last_wins(spans: DataFrame, keys: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return spans.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Of rows of one key the last."""
+    return _one_by(F.max_by, spans, keys, order)
 
 
 def merge_spans(spans: DataFrame, group: str) -> DataFrame:

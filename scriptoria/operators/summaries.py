@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import strip
+
 MACRO_THRESHOLD, MACRO_BATCH, GLOBAL_BATCH = 10, 10, 4
 CALL_CHARS = 20_000
 Summariser = Callable[[Column], Column]
@@ -24,9 +26,11 @@ def with_gist(docs: DataFrame, keys: str | list[str], text: str) -> DataFrame:
     return docs.select(*keys, text, F.explode(F.array(gist(F.col(text)))).alias("gist"))
 
 
-def entity_string(words: Column) -> Column:
-    """Words, sorted, as one string; a fixed phrase without any."""
-    return F.coalesce(F.nullif(F.array_join(F.array_sort(words), ", "), F.lit("")), F.lit("Nessuna entità specifica"))
+def entity_string(entities: Column) -> Column:
+    """Distinct people and places of an array of entities (label, word), without ##, trimmed, of three characters or more, sorted, as one string; a fixed phrase without any."""
+    words = F.transform(F.filter(entities, lambda e: e["label"].isin("PER", "LOC")), lambda e: strip(F.replace(e["word"], F.lit("##"), F.lit(""))))
+    some = F.array_sort(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3)))
+    return F.coalesce(F.nullif(F.array_join(some, ", "), F.lit("")), F.lit("Nessuna entità specifica"))
 
 
 def sections(chunks: DataFrame, group: str, section: str, order: str, summarise: Summariser = gist) -> DataFrame:

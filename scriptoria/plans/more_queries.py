@@ -24,13 +24,14 @@ def distinct_first(spark, sf_dir):
     return E.first_wins(_t(spark, sf_dir, "conversations"), ["conv_id", "role"], "turn").select("conv_id", "role", "turn")
 
 
-@query("""SELECT conv_id, coalesce(string_agg(w, ', ' ORDER BY w), 'Nessuna entità specifica') AS entities FROM (SELECT DISTINCT conv_id, w FROM (SELECT conv_id, unnest(CASE WHEN len(x) = 0 THEN [NULL] ELSE x END) AS w
-FROM (SELECT conv_id, regexp_extract_all(text, '[A-Z][a-z]{2,}') AS x FROM conversations))) GROUP BY conv_id""")
+@query("""SELECT conv_id, coalesce(string_agg(DISTINCT w, ', ' ORDER BY w) FILTER (WHERE label <> 'DATE' AND length(w) >= 3), 'Nessuna entità specifica') AS entities FROM (
+SELECT conv_id, replace(w, '##', '') AS w, CASE length(w) % 3 WHEN 0 THEN 'PER' WHEN 1 THEN 'LOC' ELSE 'DATE' END AS label FROM (SELECT conv_id, unnest(CASE WHEN len(x) = 0 THEN [''] ELSE x END) AS w FROM (SELECT conv_id, regexp_extract_all(text, '[A-Z][a-z]+') AS x FROM conversations))) GROUP BY conv_id""")
 def entity_string(spark, sf_dir):
-    """The distinct names of a conversation, sorted, as one string."""
-    words = F.explode_outer(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,}"), F.lit(0)))
-    rows = _t(spark, sf_dir, "conversations").select("conv_id", words.alias("word")).distinct()
-    return rows.groupBy("conv_id").agg(M.entity_string(F.collect_set("word")).alias("entities"))
+    """The people and places of a conversation, sorted, as one string."""
+    label = lambda w: F.when(F.length(w) % 3 == 0, "PER").when(F.length(w) % 3 == 1, "LOC").otherwise("DATE")
+    found = F.transform(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)), lambda w: F.struct(label(w).alias("label"), w.alias("word")))
+    rows = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.flatten(F.collect_list(found)).alias("entities"))
+    return rows.select("conv_id", M.entity_string(F.col("entities")).alias("entities"))
 
 
 @query("SELECT doc_id, 'Capitolo ' || dense_rank() OVER (PARTITION BY lang, source ORDER BY doc_id // 40) AS title FROM documents")

@@ -97,6 +97,25 @@ def test_books_json_and_plain_text(spark, tmp_path):
     assert got == [("a_one.json", "T", "ciao"), ("b_two.json", None, "not json")]
 
 
+def test_books_by_pattern_and_in_order(spark, tmp_path):
+    for name in ("b.json", "a.jsonl", "c.txt", "A.json"):
+        (tmp_path / name).write_text('{"text": "x"}')
+    assert [r.file_name for r in B.read_books(spark, str(tmp_path), "*.json*", ordered=True).collect()] == ["A.json", "a.jsonl", "b.json"]
+    assert B.read_books(spark, str(tmp_path)).count() == 4
+
+
+def test_entity_strings(spark):
+    rows = [(1, [("PER", "An##na"), ("LOC", " Roma "), ("PER", "Anna"), ("ORG", "Fiat"), ("LOC", "Po"), ("LOC", None)]), (2, [("DATE", "1630")]), (3, [])]
+    found = spark.createDataFrame(rows, "k int, e array<struct<label:string,word:string>>").select("k", M.entity_string(F.col("e")).alias("s")).collect()
+    assert {r.k: r.s for r in found} == {1: "Anna, Roma", 2: "Nessuna entità specifica", 3: "Nessuna entità specifica"}
+
+
+def test_first_last_and_latest_rows(spark):
+    rows = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, None, "z"), (2, None, "y"), (None, 5, "n")], "k int, o int, v string")
+    assert {(r.k, r.o, r.v) for r in B.latest(rows, ["k"], "o").collect()} == {(1, 2, "b"), (2, None, "y"), (None, 5, "n")} == {(r.k, r.o, r.v) for r in E.last_wins(rows, ["k"], "o").collect()}
+    assert {(r.k, r.v) for r in E.first_wins(rows, ["k"], "o").collect()} == {(1, "z"), (2, "y"), (None, "n")}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     (tmp_path / "in").mkdir()
