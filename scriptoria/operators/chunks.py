@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import strip
+from .ordering import numbered
 from .splitting import PIECE, paragraphs
 from .textrows import text_rows
 
@@ -94,7 +95,8 @@ def budget_batches(rows: DataFrame, group: list[str], order: str, text: str, bud
 
 
 def fixed_batches(rows: DataFrame, group: list[str], order: str, k: int) -> DataFrame:
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1) / k))
+    """rows with batch: each k rows of a group, by order (whole numbers), make one."""
+    return numbered(rows, group, order, "batch").withColumn("batch", F.floor((F.col("batch") - 1) / k))
 
 
 #: Fixed value: headings of chapters; with case ignored, Roman numerals match a few Italian words too, as they are meant to.

@@ -9,6 +9,7 @@ from ..functions import cleaning as C
 from ..functions import naming as G
 from ..operators import chunks as H
 from ..operators import entities as E
+from ..operators import ordering as O
 from ..operators import packing as L
 from ..operators import reading as D
 from ..operators import report as R
@@ -401,7 +402,7 @@ def events_session(spark, sf_dir):
 SELECT source, doc_id, CASE WHEN len(list_distinct(list_concat(k, p))) = 0 THEN 1.0 ELSE round(len(list_intersect(k, p)) / len(list_distinct(list_concat(k, p))), 6) END AS jaccard FROM n WHERE p IS NOT NULL""")
 def adjacent_jaccard(spark, sf_dir):
     keys = _t(spark, sf_dir, "documents").select("source", "doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,}"), F.lit(0))).alias("k"))
-    rows = keys.withColumn("p", F.lag("k").over(Window.partitionBy("source").orderBy("doc_id"))).where("p IS NOT NULL")
+    rows = O.with_previous(keys, ["source"], "doc_id", "k", "p").where("p IS NOT NULL")
     both = F.size(F.array_union("k", "p"))
     return rows.select("source", "doc_id", F.when(both == 0, 1.0).otherwise(F.round(F.size(F.array_intersect("k", "p")) / F.greatest(both, F.lit(1)), 6)).alias("jaccard"))
 

@@ -116,6 +116,21 @@ def test_first_last_and_latest_rows(spark):
     assert {(r.k, r.v) for r in E.first_wins(rows, ["k"], "o").collect()} == {(1, "z"), (2, "y"), (None, "n")}
 
 
+def test_numbers_and_neighbours_over_buckets(spark):
+    """Against windows over whole groups: a hot group, null groups and orders, gaps, one row, no rows."""
+    from pyspark.sql import Window
+
+    from scriptoria.operators import ordering as O
+
+    rows = spark.createDataFrame([("a" if i % 3 else None if i % 2 else "b", i * i - 50, f"v{i}") for i in range(200)] + [("c", 7, None), ("d", None, "x"), ("d", 3, "y")], "g string, o long, v string")
+    w = Window.partitionBy("g").orderBy("o")
+    for buckets in (1, 7, 4096):
+        want = {tuple(r) for r in rows.select("g", "o", "v", F.row_number().over(w).alias("n"), F.lag("v").over(w).alias("p")).collect()}
+        got = O.with_previous(O.numbered(rows, ["g"], "o", "n", buckets), ["g"], "o", "v", "p", buckets)
+        assert {(r.g, r.o, r.v, r.n, r.p) for r in got.collect()} == want and got.count() == 203
+    assert O.numbered(rows.limit(0), ["g"], "o").count() == O.with_previous(rows.limit(0), ["g"], "o", "v", "p").count() == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     (tmp_path / "in").mkdir()
