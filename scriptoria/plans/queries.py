@@ -484,7 +484,11 @@ def entities_highlight(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", D.highlight(F.col("text"), marks).alias("html"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Z][a-z]{2,}') AS x FROM conversations), g AS (SELECT conv_id, turn, list_transform(list_filter(x, lambda e, i: list_position(x, e) = i), lambda e: lower(e)) AS gold FROM w),
+p AS (SELECT conv_id, turn, gold, lead(gold) OVER (PARTITION BY conv_id ORDER BY turn) AS found FROM g),
+r AS (SELECT conv_id, turn, gold, found, 0 AS i, CAST([] AS BIGINT[]) AS taken FROM p WHERE found IS NOT NULL UNION ALL SELECT conv_id, turn, gold, found, i + 1, CASE WHEN f IS NULL THEN taken ELSE list_append(taken, f) END FROM (SELECT *, list_filter(range(1, len(found) + 1),
+  lambda j: NOT list_contains(taken, j) AND (gold[i + 1] = found[j] OR (length(gold[i + 1]) >= 3 AND contains(found[j], gold[i + 1])) OR (length(found[j]) >= 3 AND contains(gold[i + 1], found[j]))))[1] AS f FROM r WHERE i < len(gold)))
+SELECT conv_id, turn, CAST(len(gold) AS INT) AS n_gold, CAST(len(found) AS INT) AS n_found, CAST(len(taken) AS INT) AS tp FROM r WHERE i = len(gold)""")
 def entities_one_to_one(spark, sf_dir):
     """Capitalised words of each turn against those of the next."""
     words = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,}"), F.lit(0))), lambda w: F.lower(w))
