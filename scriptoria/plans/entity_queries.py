@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import chunks as H
@@ -51,10 +50,7 @@ q AS (SELECT doc_id, base + b4 AS start, base + e4 AS stop, label, arg_max({{'wo
 
 
 def _entities(spark, sf_dir) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents")
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("start")) - 1
-    windows = H.sliding_windows(docs).withColumn("idx", nth).join(docs.select("doc_id", F.col("text").alias("_all")), "doc_id")
-    windows = windows.select("doc_id", "idx", "start", F.substring("_all", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
+    windows = H.window_texts(_t(spark, sf_dir, "documents"))
     return T.window_entities(windows, T.recognise(windows, ["doc_id", "idx"]))
 
 

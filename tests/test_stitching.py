@@ -61,3 +61,16 @@ def test_two_method_report(spark):
     assert (one.embed_similarity.n_intra, one.embed_similarity.n_boundary, one.embed_similarity.n_cross) == (3, 1, 0) and one.ner_similarity is None
     assert one.embed_similarity.avg_intra > one.embed_similarity.avg_boundary == 0 and one.embed_similarity.intra[0].same_section and not one.embed_similarity.boundary[0].same_section
     assert two.avg_jaccard_score is None and two.ner_total_chunks is None and three.embed_total_chunks is None and three.comparison is None
+
+
+def test_windows_texts_end_at_the_join(spark, capsys):
+    """No sort, window or aggregation after the join holds a window's text; what touching spans add up to is cut from their own words."""
+    text = "Anna,Maria e Anna Maria-Rosa d'Este"
+    windows = spark.createDataFrame([(1, 0, 0, text)], "doc_id long, idx int, start int, text string")
+    spans = [(1, 0, n, "PER", s, e, 0.9) for n, (s, e) in enumerate([(0, 4), (2, 10), (5, 8), (13, 17), (13, 28), (18, 23), (29, 35)])]
+    found = T.window_entities(windows, spark.createDataFrame(spans, SPANS))
+    assert sorted((r.start, r.end, r.word) for r in found.collect()) == [(0, 10, text[:10]), (13, 35, text[13:])]
+    found.explain("formatted")
+    nodes = capsys.readouterr().out.split("\n\n")
+    after = [x for x in nodes if ") Window" in x]
+    assert len(after) >= 3 and not any("_text" in x for x in after)
