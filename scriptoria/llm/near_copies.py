@@ -10,8 +10,8 @@ Each text is verified against one pivot of its buckets, the nearest by SimHash;
 ROUNDS rounds, against random other pivots; then against the NEAREST texts of other components by the parities of their shingles'
 hashes; and at last all pairs of different components that parities do not rule out are verified. Pairs within a component are
 never looked at, so a large group of copies costs a few pairs for each text.
-A bucket with over MANY texts outside its main component, as boilerplate makes it, is divided for that last step: its texts meet where they
-agree in another band too. A pair at 0.8 agrees in no second band with a probability of 0.00005, more similar ones with less.
+The texts of buckets with over MANY texts outside their main component, as boilerplate makes them, meet for that last step by their rarest
+shingles instead, so many of each that no two similar texts are without a common one (a prefix filter): that loses no pair.
 In other buckets a text has MANY pairs at most. A pivot's shingles go to SALTS tasks, however many texts it is held against.
 
 Defined cases: null text is empty; texts without words are copies of each other; a text of fewer than five words is one shingle; long
@@ -204,8 +204,8 @@ def linked_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     drop_cut(rows)
     rows = fewer
     large = rows.groupBy("h").agg(F.count_if(F.col("root") != F.col("main")).alias("c")).where(F.col("c") > MANY).select("h")
-    divided = rows.join(large, "h", "left_semi").drop("main").join(every.withColumnRenamed("h", "also"), "key").where("also <> h")
-    divided = divided.withColumn("h", F.xxhash64(F.least("h", "also"), F.greatest("h", "also"))).drop("also").dropDuplicates(["h", "key"])
+    texts_of = rows.join(large, "h", "left_semi").select("key", "n", "root", "odd").dropDuplicates(["key"])
+    divided = _rarest(sets, texts_of.select("key"), threshold).join(texts_of, "key")
     rest = _untried(_across(rows.join(large, "h", "left_anti"), threshold).unionByName(_across(_several(cut(divided)), threshold)), tried)
     found = star_components(links.unionByName(_verified(sets, rest, threshold)))
     for done in (known, sets, rows, first, near, rest):
@@ -213,6 +213,22 @@ def linked_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return found
 
 
+def _rarest(sets: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+    """h, key: of each text of keys its rarest shingles among them that others have too.
+
+    Of a text's n shingles, in any one order, a similar text has one of the first n - ceil(threshold * n) + 1; the rarest come first.
+    Shingles that make up a thousandth of all, so at most a thousand, are broadcast, others joined."""
+    every = sets.join(keys, "key", "left_semi").select("key", F.size("s").alias("n"), F.explode("s").alias("h"))
+    counts = cut(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    bound = (counts.agg(F.sum("c")).first()[0] or 0) / 1000
+    common = F.broadcast(counts.where(F.col("c") > bound))
+    shared = every.join(common, "h").unionByName(every.join(common, "h", "left_anti").join(counts.where(F.col("c") <= bound), "h"))
+    held = shared.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("x"))
+    alone = F.col("n") - F.size("x")
+    first = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-6) + 1 - alone).cast("int")
+    return held.select("key", F.explode(F.slice("x", F.lit(1), F.greatest(first, F.lit(0)))).alias("x")).select("x.h", "key")
+
+
 def _several(rows: DataFrame) -> DataFrame:
     """rows of the buckets that hold several components, with the one of most texts as main."""
     roots = rows.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
