@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .entities import fuzzy_match
+from .entities import fuzzy_match, once
 
 #: Characters that part words, and how far a span may grow or shrink.
 PARTS = r"\s'\"()\[\]{}.,;:!?\-–—/\\"
@@ -24,10 +24,32 @@ def snap(text: Column, start: Column, end: Column) -> Column:
     """start, end moved to the edges of words: each side grows by up to two characters, or else gives up to two that part words."""
     grown = _run(_between(text, F.greatest(start - REACH, F.lit(0)), start), f"[^{PARTS}]*\\z")
     shed = _run(_between(text, start, F.least(start + REACH, end)), f"^[{PARTS}]*")
-    begin = F.when(grown > 0, start - grown).otherwise(start + shed)
     more = _run(_between(text, end, end + REACH), f"^[^{PARTS}]*")
-    less = _run(_between(text, F.greatest(begin, end - REACH), end), f"[{PARTS}]*\\z")
-    return F.struct(begin.alias("start"), F.when(more > 0, end + more).otherwise(end - less).alias("end"))
+
+    def ends(begin: Column, more: Column) -> Column:
+        less = _run(_between(text, F.greatest(begin, end - REACH), end), f"[{PARTS}]*\\z")
+        return F.struct(begin.alias("start"), F.when(more > 0, end + more).otherwise(end - less).alias("end"))
+
+    begin = once(grown, lambda g: F.when(g > 0, start - g).otherwise(start + shed))
+    return once(F.struct(begin.alias("b"), more.alias("m")), lambda x: ends(x["b"], x["m"]))
+
+
+def snap_every(docs: DataFrame, step: int, width: int) -> DataFrame:
+    """doc_id, at, start, end: spans of width characters at each step-th place of a text, snapped.
+
+    A text falls into stretches of a hundred steps in one pass, each with its neighbours' signs within reach, so that no span looks at a whole text."""
+    block, behind = 100 * step, width + REACH
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.length("text").alias("_n"), F.regexp_extract_all(F.concat("text", F.lit(" ")), F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("_b"))
+    # the blank added to a text makes the stretch of its last place; it is no part of the text
+    rows = texts.select("doc_id", "_n", F.posexplode(F.transform("_b", lambda b, i: F.concat(F.when(i > 0, F.substring(F.get("_b", i - 1), -REACH, REACH)).otherwise(""), b, F.coalesce(F.substring(F.get("_b", i + 1), 1, behind), F.lit("")))))).toDF("doc_id", "_n", "_i", "_near")
+    begin = F.col("_i") * block
+    base = F.greatest(begin - REACH, F.lit(0))
+    rows = rows.select("doc_id", "_n", base.alias("_base"), F.substring("_near", F.lit(1), F.col("_n") - base).alias("_near"), F.explode(F.sequence(begin, F.least(begin + block - step, F.col("_n")), F.lit(step))).alias("at"))
+    low = F.greatest(F.col("at") - REACH, F.lit(0))
+    near = F.substring("_near", low - F.col("_base") + 1, F.lit(behind + 2 * REACH))
+    rows = rows.select("doc_id", "at", low.alias("_low"), near.alias("_near"), (F.col("at") - low).alias("_s"), (F.least(F.col("at") + width, F.col("_n")) - low).alias("_e"))
+    snapped = rows.select("doc_id", "at", "_low", snap(F.col("_near"), F.col("_s"), F.col("_e")).alias("s"))
+    return snapped.select("doc_id", "at", (F.col("_low") + F.col("s.start")).alias("start"), (F.col("_low") + F.col("s.end")).alias("end"))
 
 
 def trim_span(text: Column, start: Column, end: Column) -> Column:

@@ -82,5 +82,4 @@ d AS (SELECT *, CASE WHEN grown > 0 THEN s - grown ELSE s + shed END AS f FROM c
 @query(f"""WITH {_AT} SELECT doc_id, CAST(s AS INT) AS "at", CAST(f AS INT) AS start, CAST(CASE WHEN more > 0 THEN e + more ELSE e - length(regexp_extract(substr(text, greatest(f, e - 2) + 1, e - greatest(f, e - 2)), '{_RUN}$')) END AS INT) AS "end" FROM d""")
 def entities_snap(spark, sf_dir):
     """Spans of five characters, one for every twenty, moved to the edges of words."""
-    rows = _t(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(20))).alias("at"))
-    return rows.withColumn("s", D.snap(F.col("text"), F.col("at"), F.least(F.col("at") + 5, F.length("text")))).select("doc_id", "at", "s.start", "s.end")
+    return D.snap_every(_t(spark, sf_dir, "documents"), 20, 5)

@@ -352,3 +352,15 @@ def test_chunks_by_book_and_manifest(spark, tmp_path):
     assert [r.text for r in read.collect()] == ["b1", "b2"]
     listed = B.listed_chunks(sinks.manifest(chunks), chunks.where("text <> 'a1'"))
     assert sorted(r.text for r in listed.collect()) == ["a2", "b1", "b2"]
+
+
+def test_snap_every_looks_at_no_whole_text(spark, capsys):
+    """Stretches against spans cut from whole texts, with their borders and signs beyond 16 bits; spans are looked up in stretches."""
+    from scriptoria.operators import reading as D
+
+    texts = [("ab, c'😀à-" * 300)[i : i + n] for i, n in enumerate((0, 1, 5, 6, 19, 20, 21, 199, 200, 201, 203, 205, 207, 2000, 2003))]
+    docs = spark.createDataFrame([*enumerate(texts), (-1, None)], "doc_id long, text string")
+    found = D.snap_every(docs, 2, 5)
+    want = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(2))).alias("at"))
+    want = want.withColumn("s", D.snap(F.col("text"), F.col("at"), F.least(F.col("at") + 5, F.length("text")))).select("doc_id", "at", "s.start", "s.end")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
