@@ -364,3 +364,18 @@ def test_snap_every_looks_at_no_whole_text(spark, capsys):
     want = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(2))).alias("at"))
     want = want.withColumn("s", D.snap(F.col("text"), F.col("at"), F.least(F.col("at") + 5, F.length("text")))).select("doc_id", "at", "s.start", "s.end")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_cross_pairs_sort_no_group_as_a_whole(spark):
+    """Against a loop, with groups and sections without a name or number; a window sees only rows that a limit lets through."""
+    rows = [(g, (i * i) // 7, i) for g, n in (("a", 200), ("b", 5), ("c", 3), (None, 40)) for i in range(n) for _ in range(2)] + [("a", None, 999)]
+    table = spark.createDataFrame(rows, "g string, s long, o int")
+    found = R.cross_pairs(table, "g", "s", "o", 7)
+    want = []
+    for g in ("a", "b", "c", None):
+        named = sorted({s for h, s, _ in rows if h == g and s is not None})
+        gap = max(3, (len(named) + (g == "a")) // 3)
+        want += [(g, s, min(t for t in named if t - s >= gap)) for s in named if named[-1] - s >= gap][:7]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == plan.count("WindowGroupLimit") == 1
