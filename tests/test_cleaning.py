@@ -53,3 +53,12 @@ def test_semantic_clean(spark):
     rows = [("G iovanni e AndreaTaffi, CapXII",), ("I Spagna O nde",), ("col padre",)]
     got = spark.createDataFrame(rows, "t string").select(C.semantic_clean(F.col("t")).alias("t")).collect()
     assert [r.t for r in got] == ["Giovanni e Andrea Taffi, Cap XII", "In Spagna Onde", "colpadre"]
+
+
+def test_plain_stretches_are_judged_at_once(spark):
+    """Stretches of words that are never garbage make one token; marks of a text's own stay where tokens are rewritten."""
+    text = "Una città, l'altra 1550. e d’oro di xyzt %%% fine"
+    row = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(C._TOKEN), F.lit(0)).alias("x"), C.drop_garbage(F.col("t")).alias("g")).first()
+    assert row.x == ["Una città, l'altra 1550. e d’oro di ", "xyzt", " ", "%%%", " fine"] and row.g == "Una città, l'altra 1550. e d’oro di   fine"
+    odd = "﷐chh﷐﷑ piu﷕ ﷐﷕A0 1a"
+    assert spark.createDataFrame([(odd,)], "t string").select(C.contextual_rewrite(F.col("t"))).first()[0] == "﷐ch﷐﷑ più﷕ ﷐﷕A la"
