@@ -31,9 +31,9 @@ class Windows:
 
 PIECE = "idx: int, text: string, char_start: int, char_end: int"
 FUNCTIONS = {
-    "pseudo_paragraphs": udtf(Paragraphs, returnType=PIECE, useArrow=True),
-    "split_semantic": udtf(Pieces, returnType=PIECE, useArrow=True),
-    "ner_windows": udtf(Windows, returnType="idx: int, section: int, heading: string, start: int, end: int, text: string", useArrow=True),
+    "pseudo_paragraphs": udtf(Paragraphs, returnType=PIECE, useArrow=False),
+    "split_semantic": udtf(Pieces, returnType=PIECE, useArrow=False),
+    "ner_windows": udtf(Windows, returnType="idx: int, section: int, heading: string, start: int, end: int, text: string", useArrow=False),
 }
 
 
